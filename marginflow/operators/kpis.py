@@ -273,8 +273,8 @@ def metric_table(session: TenantSession, metrics: Iterable[Metric] = DEFAULT_MET
         )
         if metric.delta_sql is None:
             return row.withColumn("delta_base", F.lit(None).cast("double"))
-        base = session.scalar(metric.delta_sql).select(F.col("value").cast("double").alias("delta_base"))
-        return row.join(base, F.lit(True))  # two one-row frames
+        base = session.scalar(metric.delta_sql).select(F.col("value").cast("double"))
+        return row.withColumn("delta_base", base.scalar())
 
     rows = reduce(DataFrame.unionByName, [one(m) for m in metrics])
     return rows.select(
