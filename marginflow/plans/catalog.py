@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +29,22 @@ CHOICE = Filters(category="Cardiovascular", region="ASIA", structure="PV", gpo="
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
+_OPENED: WeakKeyDictionary[SparkSession, dict[str, StarTables]] = WeakKeyDictionary()
+
+
+def open_star(spark: SparkSession, directory: str) -> StarTables:
+    """Tables of a directory, opened once per session; only plans are kept, no rows."""
+    opened = _OPENED.setdefault(spark, {})
+    if directory not in opened:
+        opened[directory] = StarTables(spark, directory)
+    return opened[directory]
 
 
 def _query(name: str):
     """Register a function of the star tables under ``name``."""
 
     def add(build: Callable[[StarTables], DataFrame]):
-        _QUERIES[name] = lambda spark, directory: build(StarTables(spark, directory))
+        _QUERIES[name] = lambda spark, directory: build(open_star(spark, directory))
         return build
 
     return add

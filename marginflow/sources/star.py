@@ -86,14 +86,16 @@ class StarTables(PricingTables):
 
     @cached_property
     def _places(self) -> DataFrame:
+        """State and region per nation key.
+
+        Grouping by the key tells the optimizer that it is unique, so the left join to
+        these rows disappears from every query that asks for no place.
+        """
         return (
             self.raw("nation")
             .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(
-                F.col("n_nationkey").alias("nation_key"),
-                F.col("n_name").alias("state"),
-                F.col("r_name").alias("region"),
-            )
+            .groupBy(F.col("n_nationkey").alias("nation_key"))
+            .agg(F.first("n_name").alias("state"), F.first("r_name").alias("region"))
         )
 
     @cached_property
@@ -114,7 +116,7 @@ class StarTables(PricingTables):
                 facility_count.cast("int").alias("facility_count"),
                 F.col("c_nationkey").alias("nation_key"),
             )
-            .join(self._places, "nation_key")
+            .join(self._places, "nation_key", "left")
             .transform(derive.with_idn_tier)
         )
 
@@ -137,7 +139,7 @@ class StarTables(PricingTables):
         )
         return conform(
             self.raw("supplier")
-            .join(self._places, F.col("s_nationkey") == F.col("nation_key"))
+            .join(self._places, F.col("s_nationkey") == F.col("nation_key"), "left")
             .withColumns(
                 {
                     "facility_id": derive.surrogate_id("FAC", key, 5),
@@ -275,11 +277,16 @@ class StarTables(PricingTables):
 
     @cached_property
     def priced_lines(self) -> DataFrame:
-        """Every column of the derivation, joined on the numeric keys."""
+        """Every column of the derivation, joined on the numeric keys.
+
+        Orders and their lines grow together, so neither side is ever a broadcast side.
+        The merge hint says so where the estimate of a few pruned columns does not, and
+        keeps the join able to spill and to split a heavy order.
+        """
         products = self._parts.select("product_key", "list_price", F.col("cost").alias("unit_cost"))
         deals = self._deals.drop("duration_months", "idn_name")
         return derive.price_transactions(
-            self.lines, deals, products, self.gpos, "contract_key", "product_key"
+            self.lines, deals.hint("merge"), products, self.gpos, "contract_key", "product_key"
         ).withColumns(
             {
                 "transaction_id": F.concat_ws(
