@@ -110,6 +110,16 @@ def _mean(column: str, places: int) -> Column:
     return F.sum(value).cast("double") / (F.count(value) * F.lit(10**places)).cast("double")
 
 
+def _revenue_weighted(margin: str, revenue: str) -> Column:
+    """Margin percent weighted by revenue, one decimal; products are exact decimals."""
+    weight = cents(revenue)
+    product = units(margin, PERCENT_PLACES).cast("decimal(18,0)") * weight.cast("decimal(19,0)")
+    mean = F.sum(product).cast("decimal(38,0)").cast("double") / F.nullif(
+        F.sum(weight).cast("double"), F.lit(0.0)
+    )
+    return round_half_up(mean / F.lit(10.0), 1)
+
+
 def waterfall_category(view: DataFrame, category: str) -> DataFrame:
     """Rows of one category; empty when the category is unknown."""
     return view.filter(F.col("device_category") == F.lit(category))
@@ -184,21 +194,26 @@ def margin_band(margin: Column) -> Column:
 def margin_trend(view: DataFrame, weighted: bool = False) -> DataFrame:
     """Per month: mean of the category averages and total revenue, oldest first.
 
-    ``weighted`` weighs each category average by its transactions.
+    ``weighted`` weighs each category average by its revenue.
     """
-    margin = _mean("avg_margin_pct", PERCENT_PLACES)
-    if weighted:
-        margin = F.sum(units("avg_margin_pct", PERCENT_PLACES) * F.col("transactions")).cast(
-            "double"
-        ) / (F.sum("transactions") * F.lit(10**PERCENT_PLACES)).cast("double")
     return (
         view.groupBy("tenant_id", "year", "month")
-        .agg(margin.alias("avg_margin"), sum_money("revenue").alias("revenue"))
+        .agg(
+            _margin("revenue", weighted).alias("avg_margin"),
+            sum_money("revenue").alias("revenue"),
+        )
         .withColumn("date", month_start(F.col("year"), F.col("month")))
         .orderBy("date", "tenant_id")
     )
 
 
+def _margin(revenue: str, weighted: bool) -> Column:
+    """Mean of the rows' average margins, plain or weighted by their revenue."""
+    if weighted:
+        return _revenue_weighted("avg_margin_pct", revenue)
+    return _mean("avg_margin_pct", PERCENT_PLACES)
+
+
 def margin_alerts(trend: DataFrame) -> DataFrame:
     """Band of every month and whether it misses the minimum and reaches the target."""
     margin = F.col("avg_margin")
@@ -212,12 +227,12 @@ def margin_alerts(trend: DataFrame) -> DataFrame:
     )
 
 
-def revenue_by_category(view: DataFrame) -> DataFrame:
+def revenue_by_category(view: DataFrame, weighted: bool = False) -> DataFrame:
     return (
         view.groupBy("tenant_id", "device_category")
         .agg(
             sum_money("total_revenue").alias("total_revenue"),
-            _mean("avg_margin_pct", PERCENT_PLACES).alias("avg_margin"),
+            _margin("total_revenue", weighted).alias("avg_margin"),
         )
         .orderBy("total_revenue", "device_category", "tenant_id")
     )
@@ -255,22 +270,14 @@ def concentration(view: DataFrame, n: int = 20) -> DataFrame:
 
     Size is revenue; colour is the margin percent weighted by revenue.
     """
-    exact = "decimal(38,0)"
-    revenue = cents("total_revenue")
-    weighted = units("avg_margin_pct", PERCENT_PLACES).cast("decimal(18,0)") * revenue.cast(
-        "decimal(19,0)"
-    )
-    margin = F.sum(weighted).cast(exact).cast("double") / F.nullif(
-        F.sum(revenue).cast("double"), F.lit(0.0)
-    )
     top = top_customers(view, n)
     tenant, group, customer = F.col("tenant_id"), F.col("gpo_name"), F.col("idn_name")
     return top.groupingSets(
         [[tenant, group, customer], [tenant, group]], tenant, group, customer
     ).agg(
         F.when(F.grouping("idn_name") == 1, "gpo").otherwise("idn").alias("level"),
-        from_units(F.sum(revenue), CENT_PLACES).alias("total_revenue"),
-        round_half_up(margin / F.lit(10.0), 1).alias("avg_margin_pct"),
+        sum_money("total_revenue").alias("total_revenue"),
+        _revenue_weighted("avg_margin_pct", "total_revenue").alias("avg_margin_pct"),
     )
 
 
@@ -303,12 +310,12 @@ def risk_distribution(view: DataFrame, tenant: str | None = None) -> DataFrame:
     return counted.select("tenant_id", F.explode(rows).alias("r")).select("tenant_id", "r.*")
 
 
-def revenue_by_region(view: DataFrame) -> DataFrame:
+def revenue_by_region(view: DataFrame, weighted: bool = False) -> DataFrame:
     return (
         view.groupBy("tenant_id", "region")
         .agg(
             sum_money("total_revenue").alias("total_revenue"),
-            _mean("avg_margin_pct", PERCENT_PLACES).alias("avg_margin"),
+            _margin("total_revenue", weighted).alias("avg_margin"),
             F.sum("active_contracts").alias("contracts"),
         )
         .orderBy(F.desc("total_revenue"), "region", "tenant_id")

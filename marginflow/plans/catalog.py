@@ -415,11 +415,17 @@ _query("c5_margin_alerts")(
     lambda t: frames.margin_alerts(frames.margin_trend(views.monthly_trends(t)))
 )
 _query("c6_revenue_by_category")(lambda t: frames.revenue_by_category(views.portfolio_summary(t)))
+_query("c6_revenue_by_category_weighted")(
+    lambda t: frames.revenue_by_category(views.portfolio_summary(t), weighted=True)
+)
 _query("c7_deal_structure_mix")(lambda t: frames.deal_structure_mix(views.portfolio_summary(t)))
 _query("c8_top_customers")(lambda t: frames.top_customers(views.customer_performance(t)))
 _query("c9_concentration")(lambda t: frames.concentration(views.customer_performance(t)))
 _query("c10_risk_distribution")(lambda t: frames.risk_distribution(views.contract_risk(t)))
 _query("c11_revenue_by_region")(lambda t: frames.revenue_by_region(views.customer_performance(t)))
+_query("c11_revenue_by_region_weighted")(
+    lambda t: frames.revenue_by_region(views.customer_performance(t), weighted=True)
+)
 _query("c12_needing_attention")(
     lambda t: frames.display_table(
         frames.needing_attention(views.contract_risk(t)), "attention", ("tenant_id",)

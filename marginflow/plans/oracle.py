@@ -378,6 +378,14 @@ def _percent(value: str) -> str:
     return f"CAST(CAST({value} AS DECIMAL(18,1)) AS VARCHAR) || '%'"
 
 
+def _weighted_margin(revenue: str) -> str:
+    weight = f"CAST(ROUND({revenue} * 100) AS HUGEINT)"
+    tenths = "CAST(ROUND(avg_margin_pct * 10) AS HUGEINT)"
+    return half_up(
+        f"(CAST(SUM({tenths} * {weight}) AS DOUBLE) / CAST(SUM({weight}) AS DOUBLE) / 10.0)", 1
+    )
+
+
 def _steps(source: str) -> str:
     """The seven waterfall steps of every row of ``source``."""
     steps = (
@@ -695,9 +703,7 @@ def _bodies() -> dict[str, str]:
     """
     q["c4_margin_trend"] = trend
     q["c4_margin_trend_weighted"] = trend.replace(
-        mean("avg_margin_pct", 1),
-        "CAST(SUM(CAST(ROUND(avg_margin_pct * 10) AS BIGINT) * transactions) AS DOUBLE)"
-        " / CAST(SUM(transactions) * 10 AS DOUBLE)",
+        mean("avg_margin_pct", 1), _weighted_margin("revenue")
     )
     q["c5_margin_alerts"] = f"""
         SELECT tenant_id, date, avg_margin,
@@ -712,6 +718,9 @@ def _bodies() -> dict[str, str]:
                {mean("avg_margin_pct", 1)} AS avg_margin
         FROM v_portfolio_summary GROUP BY tenant_id, device_category
     """
+    q["c6_revenue_by_category_weighted"] = q["c6_revenue_by_category"].replace(
+        mean("avg_margin_pct", 1), _weighted_margin("total_revenue")
+    )
     q["c7_deal_structure_mix"] = f"""
         SELECT tenant_id, deal_structure, CAST(contract_count AS BIGINT) AS contract_count,
                CAST({quotient("contract_count * 1000", "tenant_total")} AS DOUBLE) / 10 AS share_pct
@@ -724,21 +733,14 @@ def _bodies() -> dict[str, str]:
         QUALIFY ROW_NUMBER() OVER (PARTITION BY tenant_id ORDER BY total_revenue DESC, idn_id) <= 20
     """
     q["c8_top_customers"] = top
-    colour = (
-        "CAST(SUM(CAST(ROUND(avg_margin_pct * 10) AS HUGEINT) * CAST(ROUND(total_revenue * 100) AS HUGEINT)) "
-        "AS DOUBLE) / CAST(SUM(CAST(ROUND(total_revenue * 100) AS HUGEINT)) AS DOUBLE)"
-    )
+    colour = _weighted_margin("total_revenue")
     q["c9_concentration"] = f"""
-        SELECT tenant_id, gpo_name, idn_name, level, total_revenue,
-               {half_up("(colour / 10.0)", 1)} AS avg_margin_pct
-        FROM (
-            SELECT tenant_id, gpo_name, idn_name, 'idn' AS level, {cents_total} AS total_revenue,
-                   {colour} AS colour
-            FROM ({top}) t GROUP BY tenant_id, gpo_name, idn_name
-            UNION ALL
-            SELECT tenant_id, gpo_name, NULL, 'gpo', {cents_total}, {colour}
-            FROM ({top}) t GROUP BY tenant_id, gpo_name
-        ) h
+        SELECT tenant_id, gpo_name, idn_name, 'idn' AS level, {cents_total} AS total_revenue,
+               {colour} AS avg_margin_pct
+        FROM ({top}) t GROUP BY tenant_id, gpo_name, idn_name
+        UNION ALL
+        SELECT tenant_id, gpo_name, NULL, 'gpo', {cents_total}, {colour}
+        FROM ({top}) t GROUP BY tenant_id, gpo_name
     """
     q["c10_risk_distribution"] = """
         SELECT t.tenant_id, CAST(s.position AS INTEGER) AS position, s.risk_status,
@@ -754,6 +756,9 @@ def _bodies() -> dict[str, str]:
                CAST(SUM(active_contracts) AS BIGINT) AS contracts
         FROM v_customer_performance GROUP BY tenant_id, region
     """
+    q["c11_revenue_by_region_weighted"] = q["c11_revenue_by_region"].replace(
+        mean("avg_margin_pct", 1), _weighted_margin("total_revenue")
+    )
     q["c12_needing_attention"] = f"""
         SELECT tenant_id, contract_id AS "Contract", idn_name AS "Customer", deal_structure AS "Structure",
                device_category AS "Category", avg_margin_pct AS "Margin %", total_revenue AS "Revenue",
