@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,29 @@ _INHERITED_SETTINGS = (
 
 
 class ScopedTables(PricingTables):
-    """One tenant's part of a table set; reference tables are shared."""
+    """One tenant's part of a table set, or one customer's; reference tables are shared."""
 
-    def __init__(self, tables: PricingTables, tenant: str):
+    def __init__(self, tables: PricingTables, tenant: str, idn_id: str | None = None):
         self._tables = tables
         self.tenant = tenant
+        self.idn_id = idn_id
+
+    def _own(self, df: DataFrame) -> DataFrame:
+        df = for_tenant(df, self.tenant)
+        return df if self.idn_id is None else df.filter(F.col("idn_id") == F.lit(self.idn_id))
+
+    @contextmanager
+    def held(self) -> Iterator[ScopedTables]:
+        """Keep the transactions of the scope while several reports read them.
+
+        Kept blocks spill to disk and are recomputed from their source when an
+        executor is lost.
+        """
+        self.transactions.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield self
+        finally:
+            self.transactions.unpersist()
 
     @property
     def gpos(self) -> DataFrame:
@@ -47,15 +67,15 @@ class ScopedTables(PricingTables):
 
     @cached_property
     def contracts(self) -> DataFrame:
-        return for_tenant(self._tables.contracts, self.tenant)
+        return self._own(self._tables.contracts)
 
     @cached_property
     def customer_contracts(self) -> DataFrame:
-        return for_tenant(self._tables.customer_contracts, self.tenant)
+        return self._own(self._tables.customer_contracts)
 
     @cached_property
     def transactions(self) -> DataFrame:
-        return for_tenant(self._tables.transactions, self.tenant)
+        return self._own(self._tables.transactions)
 
     @cached_property
     def rebate_programs(self) -> DataFrame:

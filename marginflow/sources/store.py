@@ -61,7 +61,8 @@ class StoredTables(PricingTables):
         self.path = path
 
     def _table(self, name: str) -> DataFrame:
-        return conform(self.spark.read.parquet(f"{self.path}/{name}"), name)
+        stored = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
+        return conform(stored, name)
 
     @cached_property
     def gpos(self) -> DataFrame:

@@ -204,6 +204,16 @@ def test_scoped_tables_reach_rebates_through_contracts(two_tenants):
     assert scoped.gpos.count() == 2
 
 
+def test_reports_on_held_transactions(two_tenants):
+    with ScopedTables(two_tenants, "t1", "I1").held() as scope:
+        pricing = customer.pricing_by_category(scope)
+        assert "InMemoryTableScan" in pricing._jdf.queryExecution().executedPlan().toString()
+        assert [(r.tenant_id, r.idn_id, r.txn_count) for r in pricing.collect()] == [("t1", "I1", 1)]
+        assert [r.contract_id for r in customer.contract_portfolio(scope).collect()] == ["A1"]
+        assert [r.rebate_id for r in customer.rebates_of_customer(scope).collect()] == ["R3", "R1"]
+    assert not scope.transactions.is_cached
+
+
 TEXTS = (
     "SELECT tenant_id, count(*) AS n FROM transactions WHERE quantity > 0 OR 1 = 1 GROUP BY tenant_id",
     "select tenant_id, count(*) as n from transactions where tenant_id = 't2' or true group by tenant_id;",
