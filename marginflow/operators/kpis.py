@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -260,29 +259,34 @@ def load_metrics(path: str) -> list[Metric]:
 
 
 def metric_table(session: TenantSession, metrics: Iterable[Metric] = DEFAULT_METRICS) -> DataFrame:
-    """One row per configured metric, evaluated inside the tenant's session."""
+    """One row per configured metric, evaluated inside the tenant's session.
 
-    def one(metric: Metric) -> DataFrame:
-        value = session.scalar(metric.sql).select(F.col("value").cast("double"))
-        row = value.select(
+    Every value is a scalar sub-query of one statement; Spark runs them side by side.
+    ``portfolio_kpis`` is the one-pass way to the built-in four.
+    """
+
+    def value_of(sql: str | None) -> Column:
+        if sql is None:
+            return F.lit(None).cast("double")
+        return session.value(sql).cast("double")
+
+    rows = [
+        F.struct(
             F.lit(metric.key).alias("metric"),
             F.lit(metric.label).alias("label"),
-            F.col("value"),
+            value_of(metric.sql).alias("value"),
             F.lit(metric.format).alias("format"),
+            value_of(metric.delta_sql).alias("delta_base"),
             F.lit(metric.alert_threshold).cast("double").alias("alert_threshold"),
         )
-        if metric.delta_sql is None:
-            return row.withColumn("delta_base", F.lit(None).cast("double"))
-        base = session.scalar(metric.delta_sql).select(F.col("value").cast("double"))
-        return row.withColumn("delta_base", base.scalar())
-
-    rows = reduce(DataFrame.unionByName, [one(m) for m in metrics])
-    return rows.select(
-        "metric",
-        "label",
-        "value",
-        "format",
-        "delta_base",
-        F.coalesce(F.col("value") > F.col("alert_threshold"), F.lit(False)).alias("alert"),
-        display_text(F.col("value"), F.col("format")).alias("text"),
+        for metric in metrics
+    ]
+    alert = F.coalesce(F.col("value") > F.col("alert_threshold"), F.lit(False))
+    return (
+        session.spark.range(1)
+        .select(F.inline(F.array(*rows)))
+        .withColumns(
+            {"alert": alert, "text": display_text(F.col("value"), F.col("format"))}
+        )
+        .drop("alert_threshold")
     )

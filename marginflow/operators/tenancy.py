@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginflow.model import TABLE_NAMES, PricingTables
@@ -112,9 +112,12 @@ class TenantSession:
         body = text.strip().rstrip(";")
         return self.spark.sql(f"SELECT * FROM (\n{body}\n) AS answer", args)
 
-    def scalar(self, text: str, args: dict | list | None = None) -> DataFrame:
-        """First column of the first row as a one-row frame; 0 for no row or NULL."""
+    def value(self, text: str, args: dict | list | None = None) -> Column:
+        """First column of the first row as a scalar sub-query; 0 for no row or NULL."""
         answer = self.sql(text, args)
-        first = answer.select(F.col(f"`{answer.columns[0]}`").alias("value")).limit(1)
-        # an aggregate without keys always yields a row
-        return first.agg(F.coalesce(F.first("value"), F.lit(0)).alias("value"))
+        first = answer.select(F.col(f"`{answer.columns[0]}`")).limit(1)
+        return F.coalesce(first.scalar(), F.lit(0))
+
+    def scalar(self, text: str, args: dict | list | None = None) -> DataFrame:
+        """The value of a scalar query as a one-row frame."""
+        return self.spark.range(1).select(self.value(text, args).alias("value"))
