@@ -338,6 +338,22 @@ def test_ties_are_settled_by_the_last_key(spark):
     assert sorted(r.idn_id for r in frames.top_customers(df, 2).collect()) == ["a", "b"]
 
 
+def test_long_top_lists_are_cut_in_salted_parts(spark):
+    df = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("tenant_id"),
+        F.col("id").cast("string").alias("idn_id"),
+        (F.col("id") * 7 % 6000).cast("double").alias("total_revenue"),
+    )
+    n = 1500
+    expected = set()
+    for tenant in ("hot", "cold"):
+        mine = [(r.total_revenue, r.idn_id) for r in df.filter(F.col("tenant_id") == tenant).collect()]
+        expected |= {(tenant, i) for _, i in sorted(mine, key=lambda x: (-x[0], x[1]))[:n]}
+    got = frames.top_customers(df, n)
+    assert {(r.tenant_id, r.idn_id) for r in got.collect()} == expected
+    assert "_salt" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_risk_distribution_is_zero_filled(two_tenants):
     view = views.contract_risk(two_tenants)
     counts = rows(frames.risk_distribution(view, "t2").select("risk_status", "contract_count"))
