@@ -17,7 +17,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginflow.llm.shared import whole_text
@@ -263,11 +263,12 @@ def _searched(docs: DataFrame, keys: list[str], clean: bool) -> DataFrame:
 def personal_data_report(docs: DataFrame) -> DataFrame:
     """Counts and digest of the plain spans, and all spans."""
     found = _searched(docs.select("doc_id", whole_text().alias("text")), ["doc_id"], clean=False)
-    base = F.split("base", ",")
-    count = {k: F.size(F.filter(base, lambda s, k=k: s.startswith(f"{k}:"))).cast("long") for k in KINDS}
+    def count(kind: str) -> Column:
+        return F.size(F.filter(F.split("base", ","), lambda s: s.startswith(f"{kind}:"))).cast("long")
+
     return found.select(
         "doc_id",
-        *[c.alias(f"n_{k}") for k, c in count.items()],
+        *[count(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
         "spans",
     )

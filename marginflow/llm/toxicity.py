@@ -33,7 +33,9 @@ MOST_ROWS = 20_000
 #: Bound on the words of the model.
 MOST_WORDS = 4_000
 #: Likelihood ratio that a word must reach, and in how many texts it must stand.
-LEAST_RATIO, LEAST_TEXTS = 12.0, 3
+LEAST_RATIO, LEAST_TEXTS = 20.0, 3
+#: Letters of the beginnings that count as words of their own.
+BEGINNING = 4
 #: Weight of the counterfactual penalty, and of the squares of all weights.
 FAIRNESS, RIDGE = 10.0, 1e-3
 STEPS = 300
@@ -66,17 +68,19 @@ _SENTENCE = re.compile(r"[.!?\n]+")
 
 
 def words_in(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """Words in lower case, and the beginnings of the longer ones marked by a star."""
+    words = set(_WORD.findall(text.lower()))
+    return words | {w[:BEGINNING] + "*" for w in words if len(w) > BEGINNING}
 
 
-def swapped(text: str) -> Iterator[tuple[set[str], set[str]]]:
-    """Words of each sentence with an identity term, and of its counterfactuals."""
+def swapped(text: str) -> Iterator[tuple[str, str]]:
+    """The swaps that make the counterfactuals of each sentence with an identity term."""
     for sentence in _SENTENCE.split(text):
         here = words_in(sentence)
         for term in here & _GROUP.keys():
             for other in _GROUP[term]:
                 if other not in here:
-                    yield here, here - {term} | {other}
+                    yield term, other
 
 
 @dataclass
@@ -104,8 +108,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, may_train: Column) -> Data
 
 def word_table(rows: DataFrame) -> tuple[DataFrame, list]:
     """Counts of texts by word and label, and the numbers of texts by label."""
-    spelled = F.split(F.lower("text"), r"[^\p{L}]+", -1)
-    terms = rows.select("toxic", F.explode(F.array_distinct(spelled)).alias("word"))
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+", -1))
+    longer = F.filter("words", lambda w: F.length(w) > BEGINNING)
+    begun = F.array_distinct(F.transform(longer, lambda w: F.concat(F.substring(w, 1, BEGINNING), F.lit("*"))))
+    terms = rows.select("toxic", words.alias("words"))
+    terms = terms.select("toxic", F.explode(F.concat("words", begun)).alias("word"))
     counted = terms.filter("word <> ''").groupBy("word").agg(
         F.sum("toxic").cast("double").alias("bad"), F.count(F.lit(1)).cast("double").alias("all")
     )
@@ -148,7 +155,8 @@ def sampled(rows: DataFrame) -> pd.DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, may_train: Column) -> Model:
     """Fit on the labelled rows that ``may_train`` (over ``doc_id``) lets through."""
     rows = written(training_rows(docs, labels, may_train), "labelled")
-    names = chosen_words(rows)
+    begun = {t[:BEGINNING] + "*" for t in _GROUP}
+    names = [w for w in chosen_words(rows) if w not in begun]
     if not names:
         return Model()
     names += sorted(_GROUP.keys() - set(names))
@@ -168,15 +176,16 @@ def fit(docs: DataFrame, labels: DataFrame, may_train: Column) -> Model:
 
 
 def _changes(rows: DataFrame, number: dict[str, int]) -> list[tuple[int, int, float]]:
-    """(term, other term, share of texts): swaps that the labelled sentences allow."""
+    """(term, other term, share): swaps that the labelled sentences allow.
+
+    Scores are sums over words, so a swap changes a score by the difference of two weights,
+    and sentences with the same swap count together.  Beginnings of identity terms have no
+    weight of their own (see ``fit``).
+    """
 
     def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [
-                (number[next(iter(here - there))], number[next(iter(there - here))])
-                for text in frame["text"]
-                for here, there in swapped(text)
-            ]
+            out = [(number[a], number[b]) for text in frame["text"] for a, b in swapped(text)]
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int32")
 
     counted = rows.mapInPandas(pairs, "a int, b int").groupBy("a", "b").count().collect()
