@@ -63,28 +63,22 @@ def in_order(df: DataFrame, order: Sequence[Column], label: str) -> DataFrame:
     return written(laid, label)
 
 
-def ranked(laid: DataFrame, group: str | None = None) -> DataFrame:
-    """Rows of ``in_order`` with ``_rank``, counted from 0 within ``group``.
+def spans(laid: DataFrame, group: str | None = None) -> DataFrame:
+    """One row for each part, and group found there, of ``in_order``.
 
-    ``group`` must lead the order.  The side that is joined has a row for each part and
-    group found there: at most parts plus groups.
+    ``_part``, ``group`` and ``_shift``: what added to ``_pos`` gives a row's rank, counted
+    from 0 within ``group``, which must lead the order.
     """
     keys = ["_part"] if group is None else [group, "_part"]
-    spans = laid.groupBy(*keys).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    found = laid.groupBy(*keys).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part") if group is None else Window.partitionBy(group).orderBy("_part")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
-    )
-    same = F.col("_part") == F.col("_k__part")
-    if group is not None:
-        same = same & F.col(group).eqNullSafe(F.col(f"_k_{group}"))
-    return (
-        laid.join(spans, same)
-        .withColumn("_rank", F.col("_pos") + F.col("_shift"))
-        .drop("_shift", *[f"_k_{k}" for k in keys])
-    )
+    return found.select(*keys, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+
+
+def ranked(laid: DataFrame) -> DataFrame:
+    """Rows of ``in_order`` with ``_rank``, counted from 0."""
+    return laid.join(spans(laid), "_part").withColumn("_rank", F.col("_pos") + F.col("_shift")).drop("_shift")
 
 
 def running_totals(laid: DataFrame, values: dict[str, Column]) -> DataFrame:
