@@ -1,13 +1,13 @@
 """Toxicity by a counterfactually regularised classifier.
 
 A logistic model over the words of a text.  Words are chosen by how strongly they depend on
-the label (likelihood ratio over the labelled rows, counted by Spark), and the weights are
-fitted on a bounded sample of labelled rows.  For every sampled sentence with an identity term
+the label (likelihood ratio, counted by Spark), and the weights are fitted, both on a bounded
+sample of labelled rows.  For every sampled sentence with an identity term
 the term is swapped for others of its group; the fit penalises the squared change of the
 score, so that groups that are merely mentioned don't raise it.
 
 What learns: labelled rows only, and of those at most ``MOST_ROWS``, the first by a hash of
-doc_id, of each class half if there are enough.  What is scored: every row, whole texts.
+doc_id, of each class half at most.  What is scored: every row, whole texts.
 
 Cases: a null text counts as empty and scores by the intercept alone; repeated rows score
 alike; labels that are null or not 0 or 1 are left out; without rows of both classes every
@@ -97,13 +97,21 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, may_train: Column) -> DataFrame:
-    """``doc_id, text, toxic`` of labelled rows; ``may_train`` is over ``doc_id``."""
-    usable = labels.filter(may_train & F.col("toxic").isin(0, 1)).select(
-        F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")
+    """``text, toxic`` of at most ``MOST_ROWS`` labelled rows, half of each class if possible.
+
+    ``may_train`` is over ``doc_id``.  The ids are chosen and written first: they are few, so
+    the texts are picked where they lie.  A doc_id that is labelled twice counts as toxic if
+    one of its labels says so.
+    """
+    usable = labels.filter(may_train & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    parts = [usable.filter(F.col("toxic") == c).orderBy(*order).limit(MOST_ROWS // 2) for c in (0, 1)]
+    chosen = parts[0].union(parts[1]).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
+    rows = docs.select("doc_id", whole_text().alias("text")).join(
+        written(chosen, "chosen"), F.col("doc_id") == F.col("_id")
     )
-    one = usable.groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    rows = docs.select("doc_id", whole_text().alias("text")).join(one, F.col("doc_id") == F.col("_id"))
-    return rows.select("doc_id", "text", F.col("_toxic").alias("toxic"))
+    return rows.select("text", F.col("_toxic").alias("toxic"))
 
 
 def word_table(rows: DataFrame) -> tuple[DataFrame, list]:
@@ -143,15 +151,6 @@ def chosen_words(rows: DataFrame) -> list[str]:
     return [r["word"] for r in rated.orderBy(F.desc("ratio"), "word").limit(MOST_WORDS).collect()]
 
 
-def sampled(rows: DataFrame) -> pd.DataFrame:
-    """At most ``MOST_ROWS`` rows as lists of word numbers, half of each class if possible."""
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = rows.select("doc_id", "toxic")
-    parts = [ids.filter(F.col("toxic") == label).orderBy(*order).limit(MOST_ROWS // 2) for label in (0, 1)]
-    taken = parts[0].union(parts[1]).select(F.col("doc_id").alias("_id"))
-    return rows.join(taken, F.col("doc_id") == F.col("_id")).select("text", "toxic")
-
-
 def fit(docs: DataFrame, labels: DataFrame, may_train: Column) -> Model:
     """Fit on the labelled rows that ``may_train`` (over ``doc_id``) lets through."""
     rows = written(training_rows(docs, labels, may_train), "labelled")
@@ -167,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_train: Column) -> Model:
             words = [sorted(number[w] for w in words_in(t) if w in number) for t in frame["text"]]
             yield pd.DataFrame({"toxic": frame["toxic"], "words": words})
 
-    texts = sampled(rows).mapInPandas(numbered, "toxic int, words array<int>")
+    texts = rows.mapInPandas(numbered, "toxic int, words array<int>")
     # texts of the same words count together
     texts = texts.groupBy("toxic", "words").agg(F.count(F.lit(1)).alias("n")).toPandas()
     if texts["toxic"].nunique() < 2:
