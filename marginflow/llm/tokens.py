@@ -46,11 +46,11 @@ class WordEncoder:
     A word's ids don't depend on its neighbours, so each word is encoded once and then looked
     up.  Words of plain letters go to the library's merge model piece by piece; words with
     rarer characters or special tokens go through the whole library.  The table is emptied when
-    full, so memory stays bounded (about 200 MB).  Ids are little-endian unsigned 32-bit
+    full, so memory stays bounded (about 100 MB).  Ids are little-endian unsigned 32-bit
     integers.
     """
 
-    def __init__(self, path: str, most_words: int = 800_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
