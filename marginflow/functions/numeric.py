@@ -1,10 +1,12 @@
 """Fixed-point arithmetic for money and rates.
 
 Public tables carry doubles.  Every sum, product and rounding is done on
-``bigint`` units (cents, tenths, thousandths) so that
+``bigint`` units so that
 
 * results do not depend on the order in which partitions are merged,
-* rounding is half away from zero, with no binary-fraction surprises, and
+* results are rounded once, after the aggregate, half away from zero, with no
+  binary-fraction surprises: inputs keep four decimals of money and six of a percentage
+  (what lies beyond these is rounded to the nearest unit, ties to even), and
 * the work stays on primitive longs inside whole-stage codegen; decimals wider
   than 18 digits would fall back to boxed big numbers row by row.
 
@@ -20,6 +22,10 @@ CENT_PLACES = 2
 PERCENT_PLACES = 1
 SHARE_PLACES = 3
 RATE_PLACES = 6
+# Decimals that totals carry until they are rounded.  Money totals have room up to 9e14,
+# sums of percentages up to 9e10 rows of 100 percent.
+MONEY_SUM_PLACES = 4
+PERCENT_SUM_PLACES = 6
 
 
 def _col(value: Column | str) -> Column:
@@ -61,10 +67,19 @@ def round_half_up(value: Column | str, places: int) -> Column:
 
 def sum_money(unit_price: Column | str, quantity: Column | str | None = None) -> Column:
     """Exact total of a price, or of price times quantity, as double with 2 decimals."""
-    amount = cents(unit_price)
-    if quantity is not None:
-        amount = amount * _col(quantity).cast("bigint")
-    return from_units(F.sum(amount), CENT_PLACES)
+    one = F.lit(1) if quantity is None else quantity
+    return money_total(F.sum(money_units(unit_price, one)))
+
+
+def money_units(unit_price: Column | str, quantity: Column | str) -> Column:
+    """A line's amount in the units that totals are kept in."""
+    return units(unit_price, MONEY_SUM_PLACES) * _col(quantity).cast("bigint")
+
+
+def money_total(total: Column) -> Column:
+    """Double with 2 decimals from a total of ``money_units``."""
+    scale = F.lit(10 ** (MONEY_SUM_PLACES - CENT_PLACES)).cast("bigint")
+    return from_units(div_half_up(total, scale), CENT_PLACES)
 
 
 def avg_units(total: Column, count: Column, total_places: int, places: int) -> Column:
@@ -77,23 +92,23 @@ def avg_units(total: Column, count: Column, total_places: int, places: int) -> C
 
 
 def avg_money(value: Column | str) -> Column:
-    amount = cents(value)
-    return avg_units(F.sum(amount), F.count(amount), CENT_PLACES, CENT_PLACES)
+    amount = units(value, MONEY_SUM_PLACES)
+    return avg_units(F.sum(amount), F.count(amount), MONEY_SUM_PLACES, CENT_PLACES)
 
 
 def avg_percent(value: Column | str) -> Column:
-    """Average of a column that is already a percentage with one decimal."""
-    tenths = units(value, PERCENT_PLACES)
-    return avg_units(F.sum(tenths), F.count(tenths), PERCENT_PLACES, PERCENT_PLACES)
+    """Average of a column that is already a percentage, with one decimal."""
+    parts = units(value, PERCENT_SUM_PLACES)
+    return avg_units(F.sum(parts), F.count(parts), PERCENT_SUM_PLACES, PERCENT_PLACES)
 
 
 def avg_share_as_percent(value: Column | str) -> Column:
-    """Average of a share with three decimals, shown as a percentage with one.
+    """Average of a share, shown as a percentage with one decimal.
 
-    A thousandth of a share is a tenth of a percent, so the units agree.
+    A share with eight decimals is a percentage with six.
     """
-    thousandths = units(value, SHARE_PLACES)
-    return avg_units(F.sum(thousandths), F.count(thousandths), PERCENT_PLACES, PERCENT_PLACES)
+    parts = units(value, PERCENT_SUM_PLACES + 2)
+    return avg_units(F.sum(parts), F.count(parts), PERCENT_SUM_PLACES, PERCENT_PLACES)
 
 
 def ratio_percent(part: Column, whole: Column) -> Column:

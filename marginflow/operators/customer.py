@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginflow.functions.numeric import (
-    CENT_PLACES,
     PERCENT_PLACES,
+    PERCENT_SUM_PLACES,
     avg_money,
     avg_percent,
     avg_share_as_percent,
     avg_units,
-    from_units,
+    money_total,
 )
 from marginflow.model import PricingTables
 from marginflow.operators import views
@@ -42,7 +42,7 @@ def contract_portfolio(
     """Contracts with margin, revenue and risk; Unknown where the customer is missing."""
     totals = views.contract_totals(_scope(tables.transactions, tenant, idn_id))
     margin = avg_units(
-        F.col("margin_units"), F.col("margin_count"), PERCENT_PLACES, PERCENT_PLACES
+        F.col("margin_units"), F.col("margin_count"), PERCENT_SUM_PLACES, PERCENT_PLACES
     )
     known = F.col("customer_known")
 
@@ -65,7 +65,7 @@ def contract_portfolio(
             "end_date",
             "aks_risk_flag",
             measured(margin, 0.0).alias("avg_margin_pct"),
-            measured(from_units(F.col("revenue_cents"), CENT_PLACES), 0.0).alias("total_revenue"),
+            measured(money_total(F.col("revenue_units")), 0.0).alias("total_revenue"),
             measured(
                 views.risk_status(F.col("margin_units"), F.col("margin_count")), "Unknown"
             ).alias("risk_status"),

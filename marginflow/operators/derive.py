@@ -92,11 +92,21 @@ def with_total_discount(df: DataFrame) -> DataFrame:
     )
 
 
-def with_quantity_clamped(df: DataFrame, column: str = "quantity") -> DataFrame:
-    """Whole part of the quantity, kept between the smallest and largest line size."""
+def with_whole_quantity(df: DataFrame, column: str = "quantity") -> DataFrame:
+    """Whole part of the quantity; NULL stays NULL, a return stays negative."""
+    return df.withColumn(column, F.floor(F.col(column)).cast("int"))
+
+
+def with_quantity_clamped(
+    df: DataFrame, column: str = "quantity", least: int = QUANTITY_MIN, most: int = QUANTITY_MAX
+) -> DataFrame:
+    """A line's whole quantity kept within bounds; NULL stays NULL.
+
+    For made-up lines.  Sales are never clamped.
+    """
     whole = F.floor(F.col(column)).cast("bigint")
-    clamped = F.greatest(F.lit(QUANTITY_MIN), F.least(whole, F.lit(QUANTITY_MAX)))
-    return df.withColumn(column, clamped.cast("int"))
+    clamped = F.greatest(F.lit(least), F.least(whole, F.lit(most)))
+    return df.withColumn(column, F.when(whole.isNotNull(), clamped).cast("int"))
 
 
 def with_idn_tier(df: DataFrame, column: str = "tier") -> DataFrame:
@@ -121,7 +131,8 @@ def with_status(df: DataFrame, renewed: Column, as_of: dt.date) -> DataFrame:
 def with_base_discount(df: DataFrame, adjustment: Column) -> DataFrame:
     """Structure discount plus size discount plus adjustment, clipped, three decimals.
 
-    Expects ``deal_structure`` and ``idn_tier``; ``adjustment`` is a share.
+    Expects ``deal_structure`` and ``idn_tier``; ``adjustment`` is a share.  An unknown
+    structure or size has no discount: NULL, not a bound.
     """
 
     def thousandths(share: float) -> int:
@@ -135,7 +146,8 @@ def with_base_discount(df: DataFrame, adjustment: Column) -> DataFrame:
     clipped = F.greatest(
         F.lit(thousandths(DISCOUNT_FLOOR)), F.least(total, F.lit(thousandths(DISCOUNT_CEILING)))
     )
-    return df.withColumn("base_discount_pct", from_units(clipped, SHARE_PLACES))
+    known = F.when(total.isNotNull(), clipped)
+    return df.withColumn("base_discount_pct", from_units(known, SHARE_PLACES))
 
 
 def with_commitment_check(df: DataFrame) -> DataFrame:
@@ -226,7 +238,7 @@ def price_transactions(
     """The whole derivation: eligible contracts, denormalised lines, waterfall, calendar."""
     return (
         denormalise(lines, eligible_contracts(customer_contracts), products, contract_key, product_key)
-        .transform(with_quantity_clamped)
+        .transform(with_whole_quantity)
         .transform(waterfall, gpos)
         .transform(with_calendar, "transaction_date")
     )

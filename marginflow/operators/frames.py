@@ -25,9 +25,7 @@ from marginflow.functions.numeric import (
 from marginflow.model import ATTENTION_STATUSES, RISK_STATUSES
 from marginflow.operators.predicates import ALL
 
-# Spark limits groups before the shuffle only below this rank (its default threshold).
-_EARLY_LIMIT_BELOW = 1000
-_SALTS = 256
+_SALTS = 32
 
 _WATERFALL_MEASURES = (
     "avg_list_price",
@@ -254,21 +252,18 @@ def deal_structure_mix(view: DataFrame) -> DataFrame:
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """First ``n`` rows of each group.
+    """First ``n`` rows of each group, by one plan for every ``n``.
 
-    Spark turns a short rank filter into a group limit that runs before the shuffle as
-    well, so a heavy group sends at most ``n`` rows per map task.  For a longer list,
-    which Spark does not limit early, groups are first cut to ``n`` within salted parts.
+    Groups are cut to ``n`` within salted parts, so the last window sees at most ``n`` rows
+    of each part, however heavy the group.
     """
 
     def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
         return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
-    if n >= _EARLY_LIMIT_BELOW:
-        salt = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in df.columns]), F.lit(_SALTS))
-        df = ranked(df.withColumn("_salt", salt), [*keys, "_salt"]).drop("_salt")
-    return ranked(df, keys)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in df.columns]), F.lit(_SALTS))
+    return ranked(ranked(df.withColumn("_salt", salt), [*keys, "_salt"]).drop("_salt"), keys)
 
 
 def top_customers(view: DataFrame, n: int = 20) -> DataFrame:

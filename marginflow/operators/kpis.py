@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from marginflow.functions.display import currency, display_text, grouped_integer, percent
 from marginflow.functions.numeric import (
-    CENT_PLACES,
     PERCENT_PLACES,
+    PERCENT_SUM_PLACES,
     avg_percent,
     avg_units,
     cents,
-    from_units,
+    money_total,
+    money_units,
     round_half_up,
     sum_money,
     units,
@@ -134,14 +135,14 @@ def portfolio_kpis(
         )
         lines = lines.join(wanted, "gpo_id", "left")
         matches = matches & F.coalesce("_in_gpo", F.lit(False))
-    margin = units("margin_pct", PERCENT_PLACES)
+    margin = units("margin_pct", PERCENT_SUM_PLACES)
     kept_margin = F.when(matches, margin)
     per_contract = lines.groupBy("tenant_id", "contract_id").agg(
         F.count(margin).alias("margin_count"),
         F.sum(margin).alias("margin_units"),
         F.count(kept_margin).alias("kept_count"),
         F.sum(kept_margin).alias("kept_units"),
-        F.sum(F.when(matches, cents("invoice_price") * F.col("quantity"))).alias("kept_cents"),
+        F.sum(F.when(matches, money_units("invoice_price", "quantity"))).alias("kept_money"),
     )
     at_risk = (
         F.col("customer_known")
@@ -152,9 +153,9 @@ def portfolio_kpis(
         for_tenant(tables.customer_contracts, tenant)
         .join(per_contract, ["tenant_id", "contract_id"], "left")
         .agg(
-            or_zero(from_units(F.sum("kept_cents"), CENT_PLACES)).alias("revenue"),
+            or_zero(money_total(F.sum("kept_money"))).alias("revenue"),
             or_zero(
-                avg_units(F.sum("kept_units"), F.sum("kept_count"), PERCENT_PLACES, PERCENT_PLACES)
+                avg_units(F.sum("kept_units"), F.sum("kept_count"), PERCENT_SUM_PLACES, PERCENT_PLACES)
             ).alias("margin"),
             F.count_if(F.col("status") == "Active").cast("double").alias("active"),
             F.count_if(at_risk).cast("double").alias("risk"),

@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 
 from marginflow.functions.calendar import days_until
 from marginflow.functions.numeric import (
-    CENT_PLACES,
     PERCENT_PLACES,
-    SHARE_PLACES,
+    PERCENT_SUM_PLACES,
     avg_money,
     avg_percent,
     avg_share_as_percent,
     avg_units,
-    cents,
-    from_units,
+    money_total,
+    money_units,
     ratio_percent,
     sum_money,
     units,
@@ -59,7 +58,7 @@ def lowest_margin_customers(
     Lines are totalled per customer id before the customer names are joined; the
     totals are then merged per name and tier.
     """
-    margin = units("margin_pct", PERCENT_PLACES)
+    margin = units("margin_pct", PERCENT_SUM_PLACES)
     per_id = (
         for_tenant(tables.transactions, tenant)
         .groupBy("idn_id")
@@ -67,7 +66,7 @@ def lowest_margin_customers(
             F.count(F.lit(1)).alias("lines"),
             F.count(margin).alias("margin_count"),
             F.sum(margin).alias("margin_units"),
-            F.sum(cents("invoice_price") * F.col("quantity")).alias("revenue_cents"),
+            F.sum(money_units("invoice_price", "quantity")).alias("revenue_units"),
         )
     )
     customers = tables.idns.select("idn_id", F.col("name").alias("customer"), "tier")
@@ -77,9 +76,9 @@ def lowest_margin_customers(
         .agg(
             F.sum("lines").alias("_lines"),
             avg_units(
-                F.sum("margin_units"), F.sum("margin_count"), PERCENT_PLACES, PERCENT_PLACES
+                F.sum("margin_units"), F.sum("margin_count"), PERCENT_SUM_PLACES, PERCENT_PLACES
             ).alias("avg_margin"),
-            from_units(F.sum("revenue_cents"), CENT_PLACES).alias("revenue"),
+            money_total(F.sum("revenue_units")).alias("revenue"),
         )
         .filter(F.col("_lines") > more_than)
         .drop("_lines")
@@ -182,7 +181,7 @@ def highest_price_erosion(
 
     Lines are totalled per product id before the product names are joined.
     """
-    share = units("total_discount_pct", SHARE_PLACES)
+    share = units("total_discount_pct", PERCENT_SUM_PLACES + 2)
     per_id = (
         for_tenant(tables.transactions, tenant)
         .groupBy("product_id")
@@ -198,9 +197,9 @@ def highest_price_erosion(
         .groupBy("product", "category")
         .agg(
             F.sum("lines").alias("_lines"),
-            # a thousandth of a share is a tenth of a percent
+            # a share with eight decimals is a percentage with six
             avg_units(
-                F.sum("share_units"), F.sum("share_count"), PERCENT_PLACES, PERCENT_PLACES
+                F.sum("share_units"), F.sum("share_count"), PERCENT_SUM_PLACES, PERCENT_PLACES
             ).alias("avg_discount_pct"),
         )
         .filter(F.col("_lines") > more_than)

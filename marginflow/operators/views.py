@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginflow.functions.numeric import (
-    CENT_PLACES,
     PERCENT_PLACES,
+    PERCENT_SUM_PLACES,
     avg_money,
     avg_percent,
     avg_share_as_percent,
     avg_units,
-    cents,
-    from_units,
+    money_total,
+    money_units,
     sum_money,
     units,
 )
@@ -104,18 +104,18 @@ def monthly_trends(tables: PricingTables) -> DataFrame:
 
 def contract_totals(transactions: DataFrame) -> DataFrame:
     """One row per contract with unit totals, aggregated before any join."""
-    margin = units("margin_pct", PERCENT_PLACES)
+    margin = units("margin_pct", PERCENT_SUM_PLACES)
     return transactions.groupBy("tenant_id", "contract_id").agg(
         F.count("transaction_id").alias("line_count"),
         F.count(margin).alias("margin_count"),
         F.sum(margin).alias("margin_units"),
-        F.sum(cents("invoice_price") * F.col("quantity")).alias("revenue_cents"),
+        F.sum(money_units("invoice_price", "quantity")).alias("revenue_units"),
     )
 
 
 def risk_status(margin_units: Column, margin_count: Column) -> Column:
     """Risk rule on the unrounded average margin; no lines means no average, never At Risk."""
-    threshold = F.lit(AT_RISK_BELOW_MARGIN * 10**PERCENT_PLACES)
+    threshold = F.lit(AT_RISK_BELOW_MARGIN * 10**PERCENT_SUM_PLACES).cast("bigint")
     return (
         F.when(F.col("aks_risk_flag") == "High", F.lit("Critical"))
         .when(margin_units < threshold * margin_count, F.lit("At Risk"))
@@ -146,9 +146,9 @@ def contract_risk(tables: PricingTables) -> DataFrame:
             "end_date",
             F.coalesce("line_count", F.lit(0)).alias("transaction_count"),
             avg_units(
-                F.col("margin_units"), F.col("margin_count"), PERCENT_PLACES, PERCENT_PLACES
+                F.col("margin_units"), F.col("margin_count"), PERCENT_SUM_PLACES, PERCENT_PLACES
             ).alias("avg_margin_pct"),
-            from_units(F.col("revenue_cents"), CENT_PLACES).alias("total_revenue"),
+            money_total(F.col("revenue_units")).alias("total_revenue"),
             risk_status(F.col("margin_units"), F.col("margin_count")).alias("risk_status"),
         )
     )

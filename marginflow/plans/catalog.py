@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,15 +28,11 @@ CHOICE = Filters(category="Cardiovascular", region="ASIA", structure="PV", gpo="
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_OPENED: WeakKeyDictionary[SparkSession, dict[str, StarTables]] = WeakKeyDictionary()
 
 
 def open_star(spark: SparkSession, directory: str) -> StarTables:
-    """Tables of a directory, opened once per session; only plans are kept, no rows."""
-    opened = _OPENED.setdefault(spark, {})
-    if directory not in opened:
-        opened[directory] = StarTables(spark, directory)
-    return opened[directory]
+    """Tables of a directory, opened anew so that files added since are seen."""
+    return StarTables(spark, directory)
 
 
 def _query(name: str):
@@ -224,13 +219,13 @@ def _tier(t: StarTables) -> DataFrame:
 
 @_query("d15_quantity_clamp")
 def _quantity(t: StarTables) -> DataFrame:
-    """Units of all lines of a contract, clamped to the size one line may have."""
-    return (
-        t.lines.groupBy(F.col("contract_key").cast("string").alias("contract_id"))
-        .agg(F.sum(F.col("quantity").cast("bigint")).alias("ordered"))
-        .withColumn("quantity", F.col("ordered"))
-        .transform(derive.with_quantity_clamped)
-    )
+    """Quantity of each line beside what the bounds of a made-up line would leave of it."""
+    return t.lines.select(
+        F.col("contract_key").cast("string").alias("contract_id"),
+        F.col("l_linenumber").cast("bigint").alias("line_number"),
+        F.col("quantity").cast("bigint").alias("ordered"),
+        "quantity",
+    ).transform(derive.with_quantity_clamped, "quantity", 5, 40)
 
 
 @_query("d16_rebate_check")

@@ -197,10 +197,10 @@ CTES: dict[str, str] = {
     """,
     "transactions": f"""
         SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-'
-                   || CAST(LEAST(200, GREATEST(1, FLOOR(l_quantity))) AS INTEGER) AS transaction_id,
+                   || CAST(FLOOR(l_quantity) AS INTEGER) AS transaction_id,
                tenant_id, contract_id, idn_id, gpo_id, product_id,
                CAST(l_shipdate AS DATE) AS transaction_date,
-               CAST(LEAST(200, GREATEST(1, FLOOR(l_quantity))) AS INTEGER) AS quantity,
+               CAST(FLOOR(l_quantity) AS INTEGER) AS quantity,
                list_price, base_discount_pct, rebate_rate, invoice_price, gpo_admin_fee, rebate_amount,
                lowest_net_price, unit_cost, lowest_net_price - unit_cost AS margin,
                CAST(CASE WHEN lowest_net_price > 0 THEN ({_MARGIN_TENTHS}) * 0.1 ELSE 0 END
@@ -540,10 +540,11 @@ def _bodies() -> dict[str, str]:
     """
     q["d14_idn_tier"] = "SELECT idn_id, facility_count, tier FROM idns"
     q["d15_quantity_clamp"] = """
-        SELECT CAST(l_orderkey AS VARCHAR) AS contract_id,
-               CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS ordered,
-               CAST(GREATEST(1, LEAST(200, SUM(CAST(l_quantity AS BIGINT)))) AS INTEGER) AS quantity
-        FROM lineitem GROUP BY l_orderkey
+        SELECT CAST(l_orderkey AS VARCHAR) AS contract_id, CAST(l_linenumber AS BIGINT) AS line_number,
+               CAST(l_quantity AS BIGINT) AS ordered,
+               CAST(CASE WHEN FLOOR(l_quantity) < 5 THEN 5 WHEN FLOOR(l_quantity) > 40 THEN 40
+                         ELSE FLOOR(l_quantity) END AS INTEGER) AS quantity
+        FROM lineitem
     """
     q["d16_rebate_check"] = """
         SELECT rebate_id, r.rebate_type, trigger_type, CAST(rebate_pct AS DOUBLE) AS rebate_pct,

@@ -208,7 +208,7 @@ class StarTables(PricingTables):
             )
             .transform(derive.with_end_date)
             .transform(derive.with_status, F.col("renewed"), self.as_of)
-            .join(customers, "idn_key")
+            .join(customers, "idn_key", "left")  # an order without a customer stays a contract
             .transform(derive.with_base_discount, _hundredths(key % 9 - 4))
         )
 
@@ -233,7 +233,7 @@ class StarTables(PricingTables):
             "idn_name",
             "idn_tier",
             "region",
-            F.lit(True).alias("customer_known"),
+            F.col("idn_name").isNotNull().alias("customer_known"),
         )
 
     @cached_property

@@ -10,13 +10,14 @@ from conftest import SMALL
 from marginflow.model import TABLE_NAMES
 from marginflow.operators import accessors, customer, frames, kpis, views
 from marginflow.operators.tenancy import ScopedTables
-from marginflow.plans.catalog import open_star
+from marginflow.plans.catalog import all_queries, open_star
+from marginflow.plans.oracle import oracle_texts
 from marginflow.sources import store
 from marginflow.sources.star import StarTables
 from parity import compare, connect
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = all_queries()  # the text queries have tests of their own
+ORACLE = oracle_texts()
 
 
 @pytest.fixture(scope="module")

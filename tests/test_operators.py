@@ -43,8 +43,33 @@ def test_negative_margin_rounds_away_from_zero(spark):
 
 
 def test_quantity_is_whole_and_clamped(spark):
-    df = spark.createDataFrame([(0.4,), (2.7,), (200.9,), (5000.0,)], "quantity double")
-    assert rows(derive.with_quantity_clamped(df)) == [(1,), (2,), (200,), (200,)]
+    df = spark.createDataFrame([(0.4,), (2.7,), (200.9,), (5000.0,), (-5.0,), (None,)], "quantity double")
+    assert rows(derive.with_quantity_clamped(df)) == [(1,), (2,), (200,), (200,), (1,), (None,)]
+    assert rows(derive.with_whole_quantity(df)) == [(0,), (2,), (200,), (5000,), (-5,), (None,)]
+
+
+def test_totals_are_rounded_once(spark):
+    from marginflow.functions.numeric import avg_percent, sum_money
+    from marginflow.operators.views import contract_totals, risk_status
+
+    prices = spark.createDataFrame([(0.004, 1000), (80.125, 8)], "price double, quantity int")
+    assert prices.agg(sum_money("price", "quantity")).first()[0] == 645.0
+    lines = spark.createDataFrame(
+        [("t", "c", "x", 14.96, 1.0, 1)],
+        "tenant_id string, contract_id string, transaction_id string, margin_pct double, "
+        "invoice_price double, quantity int",
+    )
+    rated = contract_totals(lines).selectExpr("*", "'Low' as aks_risk_flag", "0.1D as base_discount_pct")
+    assert rated.select(risk_status(rated.margin_units, rated.margin_count)).first()[0] == "At Risk"
+    assert lines.agg(avg_percent("margin_pct")).first()[0] == 15.0
+
+
+def test_unknown_structure_has_no_discount(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("PV", "Large"), ("?", "Large"), ("PV", None)], "deal_structure string, idn_tier string")
+    found = derive.with_base_discount(df, F.lit(0.0)).select("base_discount_pct")
+    assert rows(found) == [(0.28,), (None,), (None,)]
 
 
 def test_tier_limits(spark):
