@@ -91,6 +91,8 @@ class Model:
     intercept: float = -np.inf
 
     def score(self, text: str) -> float:
+        if self.intercept == -np.inf:
+            return 0.0
         known = self.weights
         found = self.intercept + sum([known[w] for w in words_in(text) if w in known])
         return float(1.0 / (1.0 + np.exp(-max(-40.0, min(40.0, found)))))
