@@ -75,6 +75,13 @@ def chat_tokenizer(path: str):
     return tokenizer
 
 
+def _few(frames: Iterator[pd.DataFrame], rows: int = 200) -> Iterator[pd.DataFrame]:
+    """The same rows, few at a time, since their tokens take far more room than their texts."""
+    for frame in frames:
+        for at in range(0, len(frame), rows):
+            yield frame.iloc[at : at + rows]
+
+
 def conversations(rows: DataFrame) -> DataFrame:
     """``conv_id, turns``: the turns of each conversation in order."""
     turn = F.struct(
@@ -90,7 +97,7 @@ def format_chats(rows: DataFrame, tokenizer_path: str, trained: str = "assistant
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = chat_tokenizer(tokenizer_path)
-        for frame in frames:
+        for frame in _few(frames):
             texts, spans = [], []
             for turns in frame["turns"]:
                 text, found = render([(t["role"], t["text"]) for t in turns], trained)
@@ -134,7 +141,7 @@ def read_back(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
                     known[i] = bytes(byte_of[c] for c in tokenizer.id_to_token(i))
             return b"".join([known[i] for i in ids]).decode()
 
-        for frame in frames:
+        for frame in _few(frames):
             out = []
             for conv, ids, mask in zip(frame["conv_id"].astype("Int64"), frame["input_ids"], frame["loss_mask"]):
                 ids, roles, texts, trained, at = list(map(int, ids)), [], [], [], 0
