@@ -16,11 +16,11 @@ an empty table gives no rows.  A conversation is one sequence, so its turns meet
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,12 +54,14 @@ def render(turns: list[tuple[str, str]], trained: str = "assistant") -> tuple[st
     return "".join(parts), spans
 
 
-def mask_of(starts: list[int], ends: list[int], spans: list[tuple[int, int]]) -> list[bool]:
-    """True for tokens that overlap a span; both lists are sorted."""
-    mask = [False] * len(starts)
-    for low, high in spans:
-        first, last = bisect_right(ends, low), bisect_left(starts, high)
-        mask[first:last] = [True] * (last - first)
+def mask_of(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """True for tokens that overlap a span; both are sorted."""
+    mask = np.zeros(len(starts), dtype=bool)
+    if spans:
+        low, high = np.asarray(spans).T
+        firsts, lasts = np.searchsorted(ends, low, "right"), np.searchsorted(starts, high, "left")
+        for first, last in zip(firsts, lasts):
+            mask[first:last] = True
     return mask
 
 
@@ -75,11 +77,18 @@ def chat_tokenizer(path: str):
     return tokenizer
 
 
-def _few(frames: Iterator[pd.DataFrame], rows: int = 200) -> Iterator[pd.DataFrame]:
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
     """The same rows, few at a time, since their tokens take far more room than their texts."""
-    for frame in frames:
-        for at in range(0, len(frame), rows):
-            yield frame.iloc[at : at + rows]
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _lists(parts: list[np.ndarray], dtype) -> pa.ListArray:
+    """One list for each array, without an object for each value."""
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    values = np.concatenate([np.zeros(0, dtype), *parts]).astype(dtype, copy=False)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
 def conversations(rows: DataFrame) -> DataFrame:
@@ -95,29 +104,26 @@ def conversations(rows: DataFrame) -> DataFrame:
 def format_chats(rows: DataFrame, tokenizer_path: str, trained: str = "assistant") -> DataFrame:
     """One row per conversation: rendered text, ids, token spans and loss mask."""
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = chat_tokenizer(tokenizer_path)
-        for frame in _few(frames):
-            texts, spans = [], []
-            for turns in frame["turns"]:
-                text, found = render([(t["role"], t["text"]) for t in turns], trained)
+        for batch in _few(batches):
+            texts, ids, starts, ends, masks = [], [], [], [], []
+            for turns in batch.column("turns"):
+                text, spans = render([(t["role"], t["text"]) for t in turns.as_py()], trained)
+                encoded = tokenizer.encode(text, add_special_tokens=False)
+                places = np.asarray(encoded.offsets, dtype=np.int32).reshape(-1, 2)
                 texts.append(text)
-                spans.append(found)
-            encoded = tokenizer.encode_batch(texts, add_special_tokens=False)
-            starts = [[s for s, _ in e.offsets] for e in encoded]
-            ends = [[t for _, t in e.offsets] for e in encoded]
-            yield pd.DataFrame(
-                {
-                    "conv_id": frame["conv_id"].astype("Int64"),
-                    "rendered": texts,
-                    "input_ids": [e.ids for e in encoded],
-                    "token_start": starts,
-                    "token_end": ends,
-                    "loss_mask": [mask_of(*x) for x in zip(starts, ends, spans)],
-                }
+                ids.append(np.asarray(encoded.ids, dtype=np.int32))
+                starts.append(places[:, 0])
+                ends.append(places[:, 1])
+                masks.append(mask_of(places[:, 0], places[:, 1], spans))
+            columns = [_lists(x, np.int32) for x in (ids, starts, ends)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv_id"), pa.array(texts, pa.string()), *columns, _lists(masks, bool)],
+                names=["conv_id", "rendered", "input_ids", "token_start", "token_end", "loss_mask"],
             )
 
-    return conversations(rows).mapInPandas(encode, SCHEMA)
+    return conversations(rows).mapInArrow(encode, SCHEMA)
 
 
 def read_back(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -127,7 +133,7 @@ def read_back(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
     """
     schema = "conv_id long, roles array<string>, texts array<string>, trained array<string>, formatted_chars long"
 
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from marginflow.llm.tokens import byte_letters
 
         tokenizer = chat_tokenizer(tokenizer_path)
@@ -135,32 +141,37 @@ def read_back(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
         start, middle, end = (tokenizer.token_to_id(s) for s in (START, MIDDLE, END))
         known: dict[int, bytes] = {t: s.encode() for t, s in ((start, START), (middle, MIDDLE), (end, END))}
 
-        def spelled(ids) -> str:
-            for i in ids:
-                if i not in known:
-                    known[i] = bytes(byte_of[c] for c in tokenizer.id_to_token(i))
-            return b"".join([known[i] for i in ids]).decode()
-
-        for frame in _few(frames):
-            out = []
-            for conv, ids, mask in zip(frame["conv_id"].astype("Int64"), frame["input_ids"], frame["loss_mask"]):
-                ids, roles, texts, trained, at = list(map(int, ids)), [], [], [], 0
-                while at < len(ids):
-                    split, stop = ids.index(middle, at), ids.index(end, at)
-                    roles.append(unescape(spelled(ids[at + 1 : split])))
-                    texts.append(unescape(spelled(ids[split + 1 : stop])))
-                    at = stop + 1
-                run: list[int] = []
-                for i, learn in zip([*ids, -1], [*mask, False]):
-                    if learn:
-                        run.append(i)
-                    elif run:
-                        trained.append(unescape(spelled(run)))
-                        run = []
-                out.append((conv, roles, texts, trained, len(spelled(ids))))
-            yield pd.DataFrame(out, columns=["conv_id", "roles", "texts", "trained", "formatted_chars"])
-
-    return formatted.select("conv_id", "input_ids", "loss_mask").mapInPandas(decode, schema)
+        def read(ids: np.ndarray, mask: np.ndarray) -> tuple[list[str], list[str], list[str], int]:
+            for i in set(ids.tolist()) - known.keys():
+                known[i] = bytes(byte_of[c] for c in tokenizer.id_to_token(i))
+            pieces = [known[i] for i in ids.tolist()]
+            whole, at = b"".join(pieces), np.cumsum([0, *map(len, pieces)])
+
+            def spelled(first: np.ndarray, last: np.ndarray) -> list[str]:
+                return [unescape(whole[a:b].decode()) for a, b in zip(at[first], at[last])]
+
+            starts, splits, stops = (np.flatnonzero(ids == i) for i in (start, middle, end))
+            # a run of the mask begins and ends where its value changes
+            changes = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
+            return (
+                spelled(starts + 1, splits),
+                spelled(splits + 1, stops),
+                spelled(changes[0::2], changes[1::2]),
+                len(whole.decode()),
+            )
+
+        for batch in _few(batches):
+            out = [
+                read(np.asarray(ids.values), np.asarray(mask.values.to_numpy(zero_copy_only=False)))
+                for ids, mask in zip(batch.column("input_ids"), batch.column("loss_mask"))
+            ]
+            columns = [pa.array([r[n] for r in out], pa.list_(pa.string())) for n in range(3)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv_id"), *columns, pa.array([r[3] for r in out], pa.int64())],
+                names=["conv_id", "roles", "texts", "trained", "formatted_chars"],
+            )
+
+    return formatted.select("conv_id", "input_ids", "loss_mask").mapInArrow(decode, schema)
 
 
 def chat_report(decoded: DataFrame) -> DataFrame:
