@@ -32,6 +32,12 @@ def currency(value: Column) -> Column:
     )
 
 
+def millions(value: Column) -> Column:
+    """$12.3M whatever the size: the label of a bar."""
+    tenths = round_half_up(value / F.lit(1e6), 1).cast("decimal(28,1)").cast("string")
+    return F.concat(F.lit("$"), tenths, F.lit("M"))
+
+
 def percent(value: Column) -> Column:
     return F.concat(value.cast("decimal(18,1)").cast("string"), F.lit("%"))
 

@@ -1,13 +1,14 @@
 """Customer drill-down.
 
 Every function takes an optional tenant and customer; without a customer it answers
-for all of them at once.  Both predicates are applied to the tables, not to finished
-views, so they reach the scans.
+for all of them at once, unsorted, since the orders mean something within a customer
+only.  Both predicates are applied to the tables, not to finished views.  On stored tables
+they reach the scans; on the star source, whose ids are made of keys, they filter the scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginflow.functions.numeric import (
@@ -30,6 +31,10 @@ def _scope(df: DataFrame, tenant: str | None, idn_id: str | None) -> DataFrame:
     return df if idn_id is None else df.filter(F.col("idn_id") == F.lit(idn_id))
 
 
+def _sorted(df: DataFrame, idn_id: str | None, *order: str | Column) -> DataFrame:
+    return df if idn_id is None else df.orderBy(*order)
+
+
 def customer_overview(
     tables: PricingTables, tenant: str | None = None, idn_id: str | None = None
 ) -> DataFrame:
@@ -49,7 +54,7 @@ def contract_portfolio(
     def measured(value, missing):
         return F.coalesce(F.when(known, value), F.lit(missing))
 
-    return (
+    rows = (
         _scope(tables.customer_contracts, tenant, idn_id)
         .join(totals, ["tenant_id", "contract_id"], "left")
         .select(
@@ -70,14 +75,14 @@ def contract_portfolio(
                 views.risk_status(F.col("margin_units"), F.col("margin_count")), "Unknown"
             ).alias("risk_status"),
         )
-        .orderBy("status", "end_date", "contract_id")
     )
+    return _sorted(rows, idn_id, "status", "end_date", "contract_id")
 
 
 def pricing_by_category(
     tables: PricingTables, tenant: str | None = None, idn_id: str | None = None
 ) -> DataFrame:
-    return (
+    rows = (
         _scope(tables.transactions, tenant, idn_id)
         .groupBy("tenant_id", "idn_id", "device_category")
         .agg(
@@ -88,8 +93,8 @@ def pricing_by_category(
             avg_share_as_percent("total_discount_pct").alias("avg_total_discount"),
             F.count(F.lit(1)).alias("txn_count"),
         )
-        .orderBy(F.desc("avg_list"), "device_category", "tenant_id", "idn_id")
     )
+    return _sorted(rows, idn_id, F.desc("avg_list"), "device_category", "tenant_id", "idn_id")
 
 
 def recent_transactions(
@@ -119,43 +124,37 @@ def recent_transactions(
         n,
     )
     products = tables.products.select("product_id", F.col("name").alias("product_name"), "category")
-    return (
-        newest.join(products, "product_id")
-        .select(
-            "tenant_id",
-            "idn_id",
-            "transaction_id",
-            "transaction_date",
-            "product_name",
-            "category",
-            "quantity",
-            "list_price",
-            "invoice_price",
-            "lowest_net_price",
-            "margin_pct",
-            "deal_structure",
-        )
-        .orderBy("tenant_id", "idn_id", F.desc("transaction_date"), "transaction_id")
+    rows = newest.join(products, "product_id").select(
+        "tenant_id",
+        "idn_id",
+        "transaction_id",
+        "transaction_date",
+        "product_name",
+        "category",
+        "quantity",
+        "list_price",
+        "invoice_price",
+        "lowest_net_price",
+        "margin_pct",
+        "deal_structure",
     )
+    return _sorted(rows, idn_id, "tenant_id", "idn_id", F.desc("transaction_date"), "transaction_id")
 
 
 def rebates_of_customer(
     tables: PricingTables, tenant: str | None = None, idn_id: str | None = None
 ) -> DataFrame:
     contracts = _scope(tables.contracts, tenant, idn_id).select("tenant_id", "idn_id", "contract_id")
-    return (
-        tables.rebate_programs.join(contracts, "contract_id")
-        .select(
-            "tenant_id",
-            "idn_id",
-            "rebate_id",
-            "contract_id",
-            "rebate_type",
-            "rebate_pct",
-            "trigger_type",
-            "trigger_threshold",
-            "orientation",
-            "earned",
-        )
-        .orderBy("rebate_type", "rebate_id")
+    rows = tables.rebate_programs.join(contracts, "contract_id").select(
+        "tenant_id",
+        "idn_id",
+        "rebate_id",
+        "contract_id",
+        "rebate_type",
+        "rebate_pct",
+        "trigger_type",
+        "trigger_threshold",
+        "orientation",
+        "earned",
     )
+    return _sorted(rows, idn_id, "rebate_type", "rebate_id")

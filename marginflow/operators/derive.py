@@ -36,6 +36,15 @@ from marginflow.model import (
     lookup,
 )
 
+#: Why a line is not priced, in the order of the checks, and that it is.
+LINE_OUTCOMES = (
+    "unknown contract",
+    "contract not billable",
+    "unknown product",
+    "unknown buying group",
+    "priced",
+)
+
 
 def _share_of_price(price: str, rate: Column) -> Column:
     """``price * rate`` to the cent, with the rate given in units of ``RATE_PLACES``."""
@@ -50,6 +59,7 @@ def with_invoice_price(df: DataFrame) -> DataFrame:
 
 def with_gpo_admin_fee(df: DataFrame, gpos: DataFrame) -> DataFrame:
     """Look the fee rate up by ``gpo_id``; a row whose buying group is unknown is dropped.
+    ``line_outcomes`` counts those.
 
     The rate table carries its own size statistics, so Catalyst broadcasts it when
     it is small and falls back to a shuffle join when it is not.
@@ -215,6 +225,45 @@ def denormalise(
     return lines.join(customer_contracts, contract_key).join(products, product_key)
 
 
+def line_outcomes(
+    lines: DataFrame,
+    customer_contracts: DataFrame,
+    products: DataFrame,
+    gpos: DataFrame,
+    contract_key: str = "contract_id",
+    product_key: str = "product_id",
+) -> DataFrame:
+    """What becomes of the lines in the derivation: ``outcome, lines``, a row for each outcome.
+
+    The first outcome that applies counts, so the counts add up to all lines.
+    """
+    contracts = customer_contracts.select(
+        contract_key, "gpo_id", "status", F.lit(True).alias("_contract")
+    )
+    items = products.select(product_key, F.lit(True).alias("_product"))
+    groups = gpos.select("gpo_id", F.lit(True).alias("_group"))
+    known = (
+        lines.select(contract_key, product_key)
+        .join(contracts, contract_key, "left")
+        .join(items, product_key, "left")
+        .join(groups, "gpo_id", "left")
+    )
+    outcome = (
+        F.when(F.col("_contract").isNull(), LINE_OUTCOMES[0])
+        .when(~F.coalesce(F.col("status").isin(*BILLABLE_STATUSES), F.lit(False)), LINE_OUTCOMES[1])
+        .when(F.col("_product").isNull(), LINE_OUTCOMES[2])
+        .when(F.col("_group").isNull(), LINE_OUTCOMES[3])
+        .otherwise(LINE_OUTCOMES[4])
+    )
+    counted = known.select(outcome.alias("_outcome")).agg(
+        *[F.count_if(F.col("_outcome") == name).alias(name) for name in LINE_OUTCOMES]
+    )
+    rows = F.array(
+        *[F.struct(F.lit(name).alias("outcome"), F.col(f"`{name}`").alias("lines")) for name in LINE_OUTCOMES]
+    )
+    return counted.select(F.inline(rows))
+
+
 def waterfall(df: DataFrame, gpos: DataFrame) -> DataFrame:
     """All price steps of a line that has list price, discount, rebate rate and cost."""
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginflow.functions.calendar import month_start
-from marginflow.functions.display import grouped_integer
+from marginflow.functions.display import grouped_integer, millions
 from marginflow.functions.numeric import (
     CENT_PLACES,
     PERCENT_PLACES,
@@ -236,6 +236,7 @@ def revenue_by_category(view: DataFrame, weighted: bool = False) -> DataFrame:
             sum_money("total_revenue").alias("total_revenue"),
             _margin("total_revenue", weighted).alias("avg_margin"),
         )
+        .withColumn("label", millions(F.col("total_revenue")))
         .orderBy("total_revenue", "device_category", "tenant_id")
     )
 
@@ -325,6 +326,7 @@ def revenue_by_region(view: DataFrame, weighted: bool = False) -> DataFrame:
             _margin("total_revenue", weighted).alias("avg_margin"),
             F.sum("active_contracts").alias("contracts"),
         )
+        .withColumn("label", millions(F.col("total_revenue")))
         .orderBy(F.desc("total_revenue"), "region", "tenant_id")
     )
 

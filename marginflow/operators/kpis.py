@@ -214,9 +214,9 @@ class Metric:
     alert_threshold: float | None = None
 
 
-# The configured KPIs.  Money is summed in whole cents.
+# The configured KPIs.  Totals are exact decimals, rounded once.
 _REVENUE_SQL = (
-    "SELECT sum(cast(rint(invoice_price * 100) AS bigint) * quantity) / 100.0D FROM transactions"
+    "SELECT cast(round(sum(cast(invoice_price AS decimal(18, 4)) * quantity), 2) AS double) FROM transactions"
 )
 DEFAULT_METRICS = (
     Metric(
@@ -225,7 +225,7 @@ DEFAULT_METRICS = (
     Metric(
         "avg_margin",
         "Avg Margin %",
-        "SELECT round(avg(cast(margin_pct AS decimal(8, 1))), 1) FROM transactions",
+        "SELECT round(avg(cast(margin_pct AS decimal(12, 6))), 1) FROM transactions",
         "percent",
     ),
     Metric(

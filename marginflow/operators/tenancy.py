@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import cached_property
@@ -9,19 +10,14 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from marginflow.model import TABLE_NAMES, PricingTables
 from marginflow.operators.predicates import for_tenant
 from marginflow.operators.views import VIEWS, register_views
 
-_INHERITED_SETTINGS = (
-    "spark.sql.session.timeZone",
-    "spark.sql.ansi.enabled",
-    "spark.sql.shuffle.partitions",
-    "spark.sql.adaptive.enabled",
-    "spark.sql.autoBroadcastJoinThreshold",
-    "spark.sql.files.maxPartitionBytes",
-)
+#: Functions that call any Java method.
+_REFLECTIVE = re.compile(r"\b(?:try_)?reflect\b|\bjava_method\b", re.IGNORECASE)
 
 
 class ScopedTables(PricingTables):
@@ -90,21 +86,25 @@ class TenantSession:
 
     Isolation does not depend on the text of a query: relations are filtered before
     they are registered.  The text runs as a sub-query, which admits one SELECT and
-    rejects settings, DDL and writes; reading files by path is switched off.  This is
-    a guard for honest queries, not a substitute for storage permissions.
+    rejects settings, DDL and writes; reading files by path is switched off, and a text
+    that so much as mentions a reflective function is refused.  This is a guard for
+    honest queries, not a substitute for storage permissions.
     """
 
     def __init__(
         self, spark: SparkSession, open_tables: Callable[[SparkSession], PricingTables], tenant: str
     ):
         self.spark = spark.newSession()
-        for name in _INHERITED_SETTINGS:
-            self.spark.conf.set(name, spark.conf.get(name))
+        for name, value in spark.conf.getAll.items():
+            if spark.conf.isModifiable(name) and self.spark.conf.get(name, None) != value:
+                self.spark.conf.set(name, value)
         self.tables = ScopedTables(open_tables(self.spark), tenant)
         self.spark.conf.set("spark.sql.runSQLOnFiles", "false")
         self._registered: set[str] = set()
 
     def sql(self, text: str, args: dict | list | None = None) -> DataFrame:
+        if _REFLECTIVE.search(text):
+            raise ValueError("reflective functions are not admitted in a tenant's query")
         lowered = text.lower()
         mentioned = [n for n in (*TABLE_NAMES, *VIEWS) if n in lowered and n not in self._registered]
         if mentioned:
@@ -113,10 +113,16 @@ class TenantSession:
         return self.spark.sql(f"SELECT * FROM (\n{body}\n) AS answer", args)
 
     def value(self, text: str, args: dict | list | None = None) -> Column:
-        """First column of the first row as a scalar sub-query; 0 for no row or NULL."""
+        """First column of the first row as a scalar sub-query, in its own type.
+
+        NULL stays NULL; without a row a number is 0 and any other value NULL.
+        """
         answer = self.sql(text, args)
-        first = answer.select(F.col(f"`{answer.columns[0]}`")).limit(1)
-        return F.coalesce(first.scalar(), F.lit(0))
+        kind = answer.schema[0].dataType
+        missing = F.lit(0 if isinstance(kind, NumericType) else None).cast(kind)
+        found = answer.toDF(*[f"c{n}" for n in range(len(answer.columns))]).limit(1)
+        row_found = F.count(F.lit(1)) > 0
+        return found.agg(F.when(row_found, F.first("c0")).otherwise(missing).alias("value")).scalar()
 
     def scalar(self, text: str, args: dict | list | None = None) -> DataFrame:
         """The value of a scalar query as a one-row frame."""

@@ -87,6 +87,27 @@ def _store_summary(t: StarTables) -> DataFrame:
     return views.portfolio_summary(store.StoredTables(t.spark, folder))
 
 
+def _register_layers() -> None:
+    """Every table through the CSV layer and through the store."""
+
+    def by_csv(t: StarTables, name: str) -> DataFrame:
+        folder = store.scratch_folder(t.spark)
+        store.write_csv(t, folder, (name,))
+        return store.read_csv(t.spark, folder, name)
+
+    def by_store(t: StarTables, name: str) -> DataFrame:
+        folder = store.scratch_folder(t.spark)
+        store.write_store(t, folder, (name,))
+        return getattr(store.StoredTables(t.spark, folder), name)
+
+    for name in TABLE_NAMES:
+        _query(f"s2_csv_{name}")(lambda t, name=name: by_csv(t, name))
+        _query(f"s3_store_{name}")(lambda t, name=name: by_store(t, name))
+
+
+_register_layers()
+
+
 @_query("s4_parse_contract_dates")
 def _dates(t: StarTables) -> DataFrame:
     as_text = t.contracts.withColumns(
@@ -107,6 +128,17 @@ def _registered(t: StarTables) -> DataFrame:
     )
 
 
+@_query("s6_registered_views")
+def _all_registered(t: StarTables) -> DataFrame:
+    """Rows of each of the five views, read by name."""
+    views.register_views(t, tuple(views.VIEWS))
+    return t.spark.sql(
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS view_name, count(*) AS row_count FROM {name}" for name in views.VIEWS
+        )
+    )
+
+
 @_query("s7_row_counts")
 def _row_counts(t: StarTables) -> DataFrame:
     return store.row_counts(t)
@@ -134,11 +166,26 @@ def _scalar(t: StarTables) -> DataFrame:
 def _scalar_none(t: StarTables) -> DataFrame:
     session = _tenant_session(t)
     return session.scalar(
-        "SELECT max(quantity) FROM transactions WHERE device_category = :category",
+        "SELECT quantity FROM transactions WHERE device_category = :category",
         {"category": "no such category"},
     )
 
 
+_SCALARS = {
+    "s9_scalar_text": "SELECT max(device_category) FROM transactions",
+    "s9_scalar_date": "SELECT max(transaction_date) FROM transactions",
+    "s9_scalar_null": "SELECT max(quantity) FROM transactions WHERE device_category = 'no such category'",
+}
+
+
+def _register_scalars() -> None:
+    for name, text in _SCALARS.items():
+        _query(name)(lambda t, text=text: _tenant_session(t).scalar(text))
+
+
+_register_scalars()
+
+
 @_query("s10_metric_table")
 def _metrics(t: StarTables) -> DataFrame:
     return kpis.metric_table(_tenant_session(t))
@@ -181,6 +228,13 @@ def _calendar(t: StarTables) -> DataFrame:
     )
 
 
+@_query("d8_line_outcomes")
+def _outcomes(t: StarTables) -> DataFrame:
+    return derive.line_outcomes(
+        t.lines, t.numbered_deals, t.numbered_products, t.gpos, "contract_key", "product_key"
+    )
+
+
 @_query("d9_eligible_contracts")
 def _eligible(t: StarTables) -> DataFrame:
     return derive.eligible_contracts(t.contracts).select("contract_id", "tenant_id", "status")
@@ -333,8 +387,13 @@ def _tenant_sql(t: StarTables) -> DataFrame:
 
 @_query("p10_scoped_tables")
 def _scoped(t: StarTables) -> DataFrame:
+    """Rows of every table and view that a tenant sees."""
     scoped = ScopedTables(t, TENANT)
-    return store.row_counts(scoped, ("contracts", "rebate_programs", "transactions"))
+    counts = store.row_counts(scoped, (*TABLE_NAMES, "customer_contracts"))
+    for name, view in views.VIEWS.items():
+        rows = view(scoped).agg(F.count(F.lit(1)).alias("row_count"))
+        counts = counts.unionByName(rows.select(F.lit(name).alias("table_name"), "row_count"))
+    return counts
 
 
 # --- accessors --------------------------------------------------------------
@@ -430,16 +489,16 @@ _query("c12_needing_attention_by_severity")(
     lambda t: frames.needing_attention(views.contract_risk(t), by_severity=True)
 )
 _query("c13_display_contracts")(
-    lambda t: frames.display_table(customer.contract_portfolio(t), "contracts")
+    lambda t: frames.display_table(customer.contract_portfolio(t), "contracts", ("tenant_id", "idn_id"))
 )
 _query("c13_display_pricing")(
     lambda t: frames.display_table(customer.pricing_by_category(t), "pricing", ("tenant_id", "idn_id"))
 )
 _query("c13_display_recent")(
-    lambda t: frames.display_table(customer.recent_transactions(t), "recent")
+    lambda t: frames.display_table(customer.recent_transactions(t), "recent", ("tenant_id", "idn_id"))
 )
 _query("c13_display_rebates")(
-    lambda t: frames.display_table(customer.rebates_of_customer(t), "rebates")
+    lambda t: frames.display_table(customer.rebates_of_customer(t), "rebates", ("tenant_id", "idn_id"))
 )
 _query("c14_structure_counts")(
     lambda t: frames.value_counts(customer.contract_portfolio(t), "deal_structure")

@@ -275,6 +275,16 @@ class StarTables(PricingTables):
             F.col("l_shipdate").cast("date").alias("transaction_date"),
         )
 
+    @property
+    def numbered_deals(self) -> DataFrame:
+        """Contracts with the numeric key that ``lines`` carry."""
+        return self._deals
+
+    @property
+    def numbered_products(self) -> DataFrame:
+        """Products with the numeric key that ``lines`` carry."""
+        return self._parts
+
     @cached_property
     def priced_lines(self) -> DataFrame:
         """Every column of the derivation, joined on the numeric keys.

@@ -294,6 +294,71 @@ def test_scalar(tenant_session):
     assert none.first().value == 0
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    (
+        ("SELECT 'a' AS x, 2 AS x", "a"),
+        ("SELECT DATE '2024-02-29'", dt.date(2024, 2, 29)),
+        ("SELECT cast(NULL AS int)", None),
+        ("SELECT tenant_id FROM transactions WHERE quantity > 99", None),
+    ),
+)
+def test_scalar_keeps_its_type(tenant_session, text, value):
+    assert tenant_session.scalar(text).first().value == value
+
+
+@pytest.mark.parametrize(
+    "text",
+    (
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.name')",
+        "SELECT `Java_Method`('java.lang.System', 'getProperty', 'user.name')",
+        "SELECT try_reflect('java.lang.System', 'getProperty', 'user.name')",
+    ),
+)
+def test_free_text_cannot_call_java(tenant_session, text):
+    with pytest.raises(ValueError):
+        tenant_session.sql(text)
+
+
+def test_tenant_session_has_the_settings_of_its_parent(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7m")
+    try:
+        child = TenantSession(spark, lambda s: fx.tables(s, [fx.contract("A1")]), "t1").spark
+        assert child.conf.get(name) == "7m"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_lines_that_are_not_priced_are_counted(spark):
+    contracts = spark.createDataFrame(
+        [("C1", "G1", "Active"), ("C2", "G1", "Expired"), ("C3", None, "Active"), ("C4", "G1", None)],
+        "contract_id string, gpo_id string, status string",
+    )
+    products = spark.createDataFrame([("P1",)], "product_id string")
+    gpos = spark.createDataFrame([("G1",)], "gpo_id string")
+    lines = [("C1", "P1"), ("C1", "P9"), ("C2", "P1"), ("C3", "P1"), ("C9", "P1"), (None, None), ("C4", "P1")]
+    lines = spark.createDataFrame(lines, "contract_id string, product_id string")
+    assert rows(derive.line_outcomes(lines, contracts, products, gpos)) == [
+        ("unknown contract", 2),
+        ("contract not billable", 2),
+        ("unknown product", 1),
+        ("unknown buying group", 1),
+        ("priced", 1),
+    ]
+
+
+def test_unscoped_drill_downs_are_not_sorted(two_tenants):
+    for report in (
+        customer.contract_portfolio,
+        customer.pricing_by_category,
+        customer.recent_transactions,
+        customer.rebates_of_customer,
+    ):
+        assert "rangepartitioning" not in report(two_tenants)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_metrics_from_config(tenant_session, tmp_path):
     path = tmp_path / "metrics.json"
     path.write_text(
