@@ -130,6 +130,42 @@ def test_simhash_components(docs, nothing):
     assert simhash.near_duplicate_report(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
+def five_word_classes(texts):
+    sets = []
+    for text in texts:
+        found = words((text or "").lower())
+        sets.append({tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set())
+    classes = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and classes[i] != classes[j]:
+                old, new = classes[i], classes[j]
+                classes = [new if c == old else c for c in classes]
+    return classes
+
+
+def test_stage_keeps_one_of_texts_alike_by_four_fifths(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for length in (60, 400, 2000):
+        base = [f"w{n}" for n in rng.integers(0, 5000, length)]
+        for share in (0.002, 0.01, 0.02, 0.025, 0.05):
+            for _ in range(5):
+                changed = list(base)
+                for at in rng.choice(length, max(1, int(length * share)), replace=False):
+                    changed[at] = f"x{rng.integers(10**9)}"
+                texts.append(" ".join(changed))
+        texts.append(" ".join(base))
+    # a chain: neighbours are near copies, the ends are not
+    chain = [f"c{n}" for n in range(500)]
+    texts += [" ".join(chain[at : at + 300]) for at in range(0, 200, 20)]
+    texts += [None, "", "one two", "One  two", "one two three"]
+    classes = five_word_classes(texts)
+    rows = [(i, t, "en", "s", 0, "", "") for i, t in enumerate(texts)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, DOCUMENTS)).collect()}
+    assert kept == {classes.index(c) for c in set(classes)}
+
+
 def test_vantage_point_links_are_those_of_all_pairs():
     rng = np.random.default_rng(5)
     points = rng.integers(0, 2**64, 3000, dtype=np.uint64)
