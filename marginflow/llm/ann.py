@@ -6,8 +6,9 @@ tree.  A query searches all trees through one priority queue, ordered by how far
 the right side of the planes passed, until it has opened ``leaves`` leaves; the vectors of
 those are ranked by their exact inner product in double precision.
 
-Leaves are dealt out in chunks of at most ``CHUNK`` vectors, so a leaf with many vectors, for
-example copies of one, is searched by many tasks; each returns the best of its chunk only.
+Leaves are dealt out in chunks of about ``CHUNK`` vectors and their queries in blocks of about
+``BLOCK``, so a leaf with many vectors, for example copies of one, is searched by many tasks; each
+returns the best of its chunk for its block only.  No task's rows grow with the table.
 The leaves of a tree cover all vectors, so a query that opens all leaves finds the exact
 answer.
 
@@ -37,6 +38,7 @@ SAMPLE = 20_000
 #: Leaves of a tree; a leaf's share of all vectors, and so the recall, doesn't depend on size.
 LEAVES = 64
 CHUNK = 2_000
+BLOCK = 2_000
 TREES = 16
 #: Leaves that a query opens over all trees.
 OPENED = 72
@@ -135,6 +137,75 @@ def grow_forest(sample: np.ndarray, longest: float, count: int = TREES) -> list[
     return [Tree(lengthened, leaf, np.random.default_rng([SEED, t])) for t in range(count)]
 
 
+def in_cells(spread: DataFrame) -> DataFrame:
+    """``spread`` with ``chunk`` and ``block``: vectors in each block, queries in each chunk."""
+    asks = F.col("query")
+
+    def parts(rows: Column, size: int) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.count_if(rows) / size)).cast("int")
+
+    sizes = spread.groupBy("tree", "leaf").agg(
+        parts(~asks, CHUNK).alias("chunks"), parts(asks, BLOCK).alias("blocks")
+    )
+    spread = spread.join(sizes, ["tree", "leaf"])
+
+    def own(parts: str) -> Column:
+        return F.array(F.pmod("salt", parts).cast("int"))
+
+    def every(parts: str) -> Column:
+        return F.sequence(F.lit(0), F.col(parts) - 1)
+
+    spread = spread.withColumn("chunk", F.explode(F.when(asks, every("chunks")).otherwise(own("chunks"))))
+    return spread.withColumn("block", F.explode(F.when(asks, own("blocks")).otherwise(every("blocks"))))
+
+
+def ranked(spread: DataFrame, k: int) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the best ``k`` that queries meet in leaves of ``spread``.
+
+    ``spread`` has a row for each leaf of a vector or query (tree, leaf, query, salt, vec_id,
+    embedding); ``salt`` deals rows out.
+    """
+
+    def rank(cell: pd.DataFrame) -> pd.DataFrame:
+        """The best ``k`` of a chunk for each query that opened its leaf."""
+        asks = cell["query"].to_numpy(dtype=bool)
+        out_q, out_v, out_s = [], [], []
+        if asks.any() and not asks.all():
+            ids = cell["vec_id"].to_numpy(dtype=np.int64)
+            points = np.stack(cell["embedding"].to_numpy()).astype(np.float64)
+            base, base_ids = points[~asks], ids[~asks]
+            for query, vector in zip(ids[asks], points[asks]):
+                # summed row by row: equal vectors have equal scores wherever they stand
+                score = (base * vector).sum(axis=1)
+                score[base_ids == query] = -np.inf
+                if len(score) > k:
+                    floor = np.partition(score, len(score) - k)[len(score) - k]
+                    top = np.nonzero(score >= floor)[0]
+                else:
+                    top = np.arange(len(score))
+                top = top[score[top] > -np.inf]
+                top = top[np.lexsort((base_ids[top], -score[top]))][:k]
+                out_q.append(np.full(len(top), query))
+                out_v.append(base_ids[top])
+                out_s.append(score[top])
+        none = np.zeros(0)
+        return pd.DataFrame(
+            {
+                "query_id": np.concatenate([*out_q, none]).astype(np.int64),
+                "vec_id": np.concatenate([*out_v, none]).astype(np.int64),
+                "score": np.concatenate([*out_s, none]),
+            }
+        )
+
+    found = in_cells(spread).groupBy("tree", "leaf", "chunk", "block").applyInPandas(
+        rank, "query_id long, vec_id long, score double"
+    )
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score")
+
+
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 20, leaves: int = OPENED
 ) -> DataFrame:
@@ -170,6 +241,7 @@ def nearest(
             tree_of = [np.full(len(points), t, np.int32) for t, _ in where]
             leaf_of = [leaf for _, leaf in where]
             role = [np.zeros(len(points), bool)] * len(trees)
+            drawn = np.random.default_rng()
             for row in np.nonzero(asks)[0]:
                 # a query has all its components; only the planes matter, not the vectors' length
                 margins = [
@@ -187,60 +259,12 @@ def nearest(
                     pa.array(np.concatenate(tree_of)),
                     pa.array(np.concatenate(leaf_of)),
                     pa.array(np.concatenate(role)),
+                    pa.array(drawn.integers(0, 1 << 62, len(at))),
                     batch.column("vec_id").take(at),
                     batch.column("embedding").take(at),
                 ],
-                names=["tree", "leaf", "query", "vec_id", "embedding"],
+                names=["tree", "leaf", "query", "salt", "vec_id", "embedding"],
             )
 
-    spread = written(
-        clean.mapInArrow(assign, f"tree int, leaf long, query boolean, vec_id long, embedding {kind}"),
-        "leaves",
-    )
-    members = spread.filter("not query")
-    chunks = members.groupBy("tree", "leaf").agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / CHUNK)).cast("int").alias("chunks")
-    )
-    spread = spread.join(chunks, ["tree", "leaf"])
-    own = F.array(F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    spread = spread.withColumn("chunk", F.explode(F.when(F.col("query"), every).otherwise(own)))
-
-    def rank(cell: pd.DataFrame) -> pd.DataFrame:
-        """The best ``k`` of a chunk for each query that opened its leaf."""
-        asks = cell["query"].to_numpy(dtype=bool)
-        out_q, out_v, out_s = [], [], []
-        if asks.any() and not asks.all():
-            ids = cell["vec_id"].to_numpy(dtype=np.int64)
-            points = np.stack(cell["embedding"].to_numpy()).astype(np.float64)
-            base, base_ids = points[~asks], ids[~asks]
-            for query, vector in zip(ids[asks], points[asks]):
-                # summed row by row: equal vectors have equal scores wherever they stand
-                score = (base * vector).sum(axis=1)
-                score[base_ids == query] = -np.inf
-                if len(score) > k:
-                    floor = np.partition(score, len(score) - k)[len(score) - k]
-                    top = np.nonzero(score >= floor)[0]
-                else:
-                    top = np.arange(len(score))
-                top = top[score[top] > -np.inf]
-                top = top[np.lexsort((base_ids[top], -score[top]))][:k]
-                out_q.append(np.full(len(top), query))
-                out_v.append(base_ids[top])
-                out_s.append(score[top])
-        none = np.zeros(0)
-        return pd.DataFrame(
-            {
-                "query_id": np.concatenate([*out_q, none]).astype(np.int64),
-                "vec_id": np.concatenate([*out_v, none]).astype(np.int64),
-                "score": np.concatenate([*out_s, none]),
-            }
-        )
-
-    found = spread.groupBy("tree", "leaf", "chunk").applyInPandas(
-        rank, "query_id long, vec_id long, score double"
-    )
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    kinds = f"tree int, leaf long, query boolean, salt long, vec_id long, embedding {kind}"
+    return ranked(written(clean.mapInArrow(assign, kinds), "leaves"), k)

@@ -278,6 +278,19 @@ def test_neighbours(spark):
     assert ann.nearest(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_queries_of_a_crowded_leaf_are_split(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CHUNK", 50)
+    monkeypatch.setattr(ann, "BLOCK", 20)
+    rows = [(0, 5, q, i, i, [1.0, float(i)]) for i in range(400) for q in (False, True)]
+    kinds = "tree int, leaf long, query boolean, salt long, vec_id long, embedding array<double>"
+    spread = spark.createDataFrame(rows, kinds)
+    cells = ann.in_cells(spread).groupBy("chunk", "block").agg(F.count_if("query").alias("asks"), F.count("*").alias("n"))
+    assert {(r.asks, r.n) for r in cells.collect()} == {(20, 70)} and cells.count() == 160
+    found = ann.ranked(spread, 3).collect()
+    assert len(found) == 1200
+    assert [r.vec_id for r in sorted((r for r in found if r.query_id == 7), key=lambda r: r.rank)] == [399, 398, 397]
+
+
 def test_pipeline_keeps_columns_until_the_last_stage(spark):
     import corpus_pipeline
 
