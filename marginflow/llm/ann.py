@@ -12,8 +12,11 @@ returns the best of its chunk for its block only.  No task's rows grow with the
 The leaves of a tree cover all vectors, so a query that opens all leaves finds the exact
 answer.
 
-Vectors are lengthened by one component that makes all norms equal (that of the longest), so
-nearness by angle orders candidates as the inner product does.
+Vectors are lengthened by one component that makes all norms equal (that of the longest).  A
+query has 0 there and is scaled to the same norm, so points near it are those of the largest
+inner products.
+
+Queries that meet fewer than ``k`` vectors are asked again of all vectors.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, as
 queries or candidates; vectors of another dimension than most are left out likewise; a
@@ -130,6 +133,14 @@ def _lengthened(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([vectors, rest])
 
 
+def _as_queries(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors scaled to the longest norm, with a last component of 0."""
+    largest = np.abs(vectors).max(axis=1, keepdims=True)  # squares of tiny or huge components stay finite
+    scaled = vectors / largest
+    scaled = scaled * (longest / np.linalg.norm(scaled, axis=1, keepdims=True))
+    return np.column_stack([scaled, np.zeros(len(scaled))])
+
+
 def grow_forest(sample: np.ndarray, longest: float, count: int = TREES) -> list[Tree]:
     """Trees of about ``LEAVES`` leaves each."""
     lengthened = _lengthened(sample, longest)
@@ -234,7 +245,8 @@ def nearest(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            points = _lengthened(_matrix(batch.column("embedding")), longest)
+            vectors = _matrix(batch.column("embedding"))
+            points, asked = _lengthened(vectors, longest), _as_queries(vectors, longest)
             asks = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
             where = [(t, tree.leaves(points)) for t, tree in enumerate(trees)]
             rows = [np.arange(len(points))] * len(trees)
@@ -243,9 +255,8 @@ def nearest(
             role = [np.zeros(len(points), bool)] * len(trees)
             drawn = np.random.default_rng()
             for row in np.nonzero(asks)[0]:
-                # a query has all its components; only the planes matter, not the vectors' length
                 margins = [
-                    {n: float(points[row] @ normal - cut) for n, (normal, cut) in tree.planes.items()}
+                    {n: float(asked[row] @ normal - cut) for n, (normal, cut) in tree.planes.items()}
                     for tree in trees
                 ]
                 opened = np.asarray(search(trees, margins, leaves), np.int64).reshape(-1, 2)
@@ -267,4 +278,19 @@ def nearest(
             )
 
     kinds = f"tree int, leaf long, query boolean, salt long, vec_id long, embedding {kind}"
-    return ranked(written(clean.mapInArrow(assign, kinds), "leaves"), k)
+    found = written(ranked(written(clean.mapInArrow(assign, kinds), "leaves"), k), "found")
+    full = found.filter(F.col("rank") == k).select("query_id")
+    short = clean.filter("asks").join(full, F.col("vec_id") == F.col("query_id"), "left_anti")
+    short = written(short.select("vec_id").distinct(), "short")
+    if short.isEmpty():
+        return found
+    again = short.select(F.col("vec_id").alias("query_id"))
+    return found.join(again, "query_id", "left_anti").unionByName(ranked(_everywhere(clean, short), k))
+
+
+def _everywhere(clean: DataFrame, short: DataFrame) -> DataFrame:
+    """All vectors, and the queries with ids of ``short``, in one leaf."""
+    asks = clean.filter("asks").join(short, "vec_id", "left_semi")
+    both = [rows.select(F.lit(q).alias("query"), "vec_id", "embedding") for rows, q in ((clean, False), (asks, True))]
+    spread = both[0].unionByName(both[1]).withColumn("salt", F.monotonically_increasing_id())
+    return written(spread.select(F.lit(0).alias("tree"), F.lit(0).cast("long").alias("leaf"), "*"), "everywhere")

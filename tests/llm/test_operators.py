@@ -278,6 +278,28 @@ def test_neighbours(spark):
     assert ann.nearest(frame.limit(0), F.lit(True)).count() == 0
 
 
+def recall_of_neighbours(spark, vectors, k):
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = ann.nearest(frame, F.col("vec_id") % 20 == 0, k).collect()
+    hits, queries = 0, range(0, len(vectors), 20)
+    for q in queries:
+        score = vectors @ vectors[q]
+        score[q] = -np.inf
+        hits += len({r.vec_id for r in found if r.query_id == q} & set(np.argsort(-score)[:k].tolist()))
+    return hits / (k * len(queries))
+
+
+def test_neighbours_of_a_small_table_are_all_found(spark):
+    assert recall_of_neighbours(spark, np.random.default_rng(9).normal(size=(21, 64)), 20) == 1.0
+
+
+def test_neighbours_of_unequal_norms(spark):
+    rng = np.random.default_rng(12)
+    vectors = rng.normal(size=(4000, 64))
+    vectors *= (rng.lognormal(0, 0.7, 4000) / np.linalg.norm(vectors, axis=1))[:, None]
+    assert recall_of_neighbours(spark, vectors, 20) >= 0.9
+
+
 def test_queries_of_a_crowded_leaf_are_split(spark, monkeypatch):
     monkeypatch.setattr(ann, "CHUNK", 50)
     monkeypatch.setattr(ann, "BLOCK", 20)
