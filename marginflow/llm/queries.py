@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginflow.llm import ann, chat, mixing, packing, pii, quality, secret_scan, simhash, token_files, toxicity
+from marginflow.llm import (
+    ann,
+    chat,
+    collocations,
+    hard_negatives,
+    main_text,
+    mixing,
+    packing,
+    pii,
+    quality,
+    secret_scan,
+    simhash,
+    token_files,
+    toxicity,
+)
 from marginflow.llm.shared import table
 
 #: Share of one that a text must reach to be called toxic.
@@ -85,6 +99,21 @@ def op10_neighbours(spark: SparkSession, directory: str) -> DataFrame:
     return ann.nearest(table(spark, directory, "embeddings"), asks, NEIGHBOURS)
 
 
+def op11_main_text(spark: SparkSession, directory: str) -> DataFrame:
+    return main_text.extract(table(spark, directory, "pages"))
+
+
+def op12_collocations(spark: SparkSession, directory: str) -> DataFrame:
+    return collocations.collocations(table(spark, directory, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, directory: str) -> DataFrame:
+    rows = table(spark, directory, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.quantised(rows.withColumn("label", shifted))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, directory: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,13 +132,21 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_packing": op9_packing,
         "op10_neighbours": op10_neighbours,
+        "op11_main_text": op11_main_text,
+        "op12_collocations": op12_collocations,
+        "op13_hard_negatives": op13_hard_negatives,
         "pipeline": pipeline,
     }
 
 
 def llm_sql() -> dict[str, str]:
     """DuckDB texts for the queries that SQL expresses."""
-    return {"op2_mixing": MIXING_SQL, "op6_chat": CHAT_SQL}
+    return {
+        "op2_mixing": MIXING_SQL,
+        "op6_chat": CHAT_SQL,
+        "op12_collocations": COLLOCATION_SQL,
+        "op13_hard_negatives": NEGATIVE_SQL,
+    }
 
 
 MIXING_SQL = r"""
@@ -184,3 +221,75 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt)::BIGINT AS
        sha256(learnt) AS loss_sha256, formatted_chars
 FROM whole
 """
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS words
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+  )
+), placed AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos FROM pieces
+), phrases AS (
+  SELECT lang, len AS k, array_to_string(words[pos : pos + len - 1], ' ') AS phrase, count(*)::BIGINT AS a
+  FROM placed, range(1, 6) AS lengths(len)
+  WHERE pos + len - 1 <= len(words)
+  GROUP BY ALL
+), sizes AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM phrases WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS words FROM phrases WHERE k > 1 AND a >= 100
+), inner_phrases AS (
+  -- every shorter phrase inside a candidate, with the candidate's count
+  SELECT c.lang, array_to_string(c.words[s : s + len - 1], ' ') AS phrase, max(c.a) AS most
+  FROM candidates c, range(1, 6) AS starts(s), range(2, 5) AS lengths(len)
+  WHERE len < c.k AND s + len - 1 <= c.k
+  GROUP BY ALL
+), kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN inner_phrases i ON c.lang = i.lang AND c.phrase = i.phrase
+  WHERE i.most IS NULL OR 100 * i.most < 100 * c.a
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, z.n, cut,
+         (1000::HUGEINT * c.a * z.n) // (l.a::HUGEINT * r.a) AS score
+  FROM kept c
+  JOIN range(1, 5) AS cut_at(cut) ON cut < c.k
+  JOIN phrases l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1 : cut], ' ')
+  JOIN phrases r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[cut + 1 : c.k], ' ')
+  JOIN sizes z ON z.lang = c.lang
+), worst AS (
+  SELECT lang, phrase, a, l, r, n, score::BIGINT AS score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INTEGER AS rank,
+       phrase, a, l, r, n, score
+FROM worst
+QUALIFY rank <= 2000
+"""
+
+NEGATIVE_SQL = r"""
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+         list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM usable a JOIN usable r ON r.vec_id <> a.vec_id
+  WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT s.same
+WHERE 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+QUALIFY rank <= 5
+"""
