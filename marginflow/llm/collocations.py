@@ -7,12 +7,12 @@ suffixes.  A round extends the phrases of k - 1 words to k words: the LF order o
 sends a suffix to its left neighbours, so an interval of ``W`` falls into intervals of ``xW`` for
 each word x before it; each lies inside the interval of ``x`` and all but the last word of ``W``,
 whose right extension it is.  Only extensions whose both parts are frequent in the whole corpus are
-counted.  Their counts are summed across shards, and frequent phrases go back to the shards that
-hold them, with their intervals, for the next round.
+counted.  A shard sends them in sorted blocks to the parts that add up the counts of all shards, and learns
+which are frequent: their intervals are extended in the next round.
 
 Words are told apart by language, so a shard may hold several languages and no count mixes them.
 No table is broadcast by hint, and no row grows with the corpus: a shard's rows are bounded by its
-size (a piece without any separator is never cut), a phrase has one row in each shard that holds it.
+size (a piece without any separator is never cut), and parts grow in number with the shards.
 
 Cases: a null text is empty and has no words; a null lang counts as ``und``; phrases don't cross
 pieces or documents; repeated rows count each; an empty table gives no rows; other columns are not
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from marginflow.llm.shared import written
 
 #: Words and separators of a shard; a task holds a few arrays of this length.
-SHARD = 4_000_000
+SHARD = 2_000_000
+#: One task adds up as many phrases as so many shards hold.
+ADDED = 2
 LEAST = 100
 LONGEST = 5
 #: Groups into which the candidates of a language are dealt for the first cut.
@@ -92,11 +94,11 @@ def transformed(symbols: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return pa.compress(values.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(values.astype("<u4").tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, decompressed_size=4 * size, codec="zstd", asbytes=True), "<i4")
+    return np.frombuffer(pa.decompress(data, decompressed_size=4 * size, codec="zstd", asbytes=True), "<u4")
 
 
 def index(docs: DataFrame, longest: int = LONGEST, shard_size: int = SHARD) -> DataFrame:
@@ -150,61 +152,151 @@ def index(docs: DataFrame, longest: int = LONGEST, shard_size: int = SHARD) -> D
     return written(texts.mapInArrow(build, _INDEX), "shards")
 
 
-_ROUND = "shard long, low int, high int, front long, rest long"
+#: A block: the extensions that a shard sends to one part.
+_SENT = {
+    "shard": pa.int64(), "part": pa.int32(), "size": pa.int32(),
+    "front": pa.binary(), "rest": pa.binary(), "low": pa.binary(), "count": pa.binary(),
+}
+#: Frequent phrases of a part (front, rest, a), and which of a block are frequent, with their ids.
+_COUNTED = {
+    "id": pa.int64(), "front": pa.int64(), "rest": pa.int64(), "a": pa.int64(),
+    "shard": pa.int64(), "part": pa.int32(), "flags": pa.binary(), "ids": pa.binary(),
+}
+_SQL = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
 
 
-def _extended(shard: pa.Table, phrases: pa.Table) -> pa.Table:
-    """The intervals one word longer in a shard, from the frequent ones (``id, low, high``)."""
+def _schema(types: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{name} {_SQL[kind]}" for name, kind in types.items())
+
+
+def _table(types: dict[str, pa.DataType], columns: dict) -> pa.Table:
+    """A table of ``types``; columns that aren't given are null."""
+    rows = len(next(iter(columns.values()), []))
+    return pa.table({name: pa.array(columns.get(name, [None] * rows), kind) for name, kind in types.items()})
+
+
+def _extensions(shard: pa.Table, low: np.ndarray, high: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Intervals one word longer (low, high, front, rest), from those of frequent phrases."""
     size = shard.column("high")[0].as_py()
     bwt = _unpacked(shard.column("bwt")[0].as_py(), size)
-    low, high = (phrases.column(c).to_numpy() for c in ("low", "high"))
-    ids = phrases.column("id").to_numpy()
+    by = np.argsort(low)
+    low, high, ids = low[by], high[by], ids[by]
     # the phrase that each suffix starts with: intervals of phrases of one length don't overlap
-    step = np.zeros(size + 1, np.int64)
-    step[low] += np.arange(1, len(low) + 1)
-    np.subtract.at(step, high, np.arange(1, len(low) + 1))
-    owner = np.cumsum(step[:-1]) - 1
+    step = np.zeros(size + 1, np.int32)
+    step[low] = np.arange(1, len(low) + 1)
+    np.subtract.at(step, high, np.arange(1, len(low) + 1, dtype=np.int32))
+    owner = np.cumsum(step[:-1], dtype=np.int32) - 1
     # LF order: row r of the suffixes is a word followed by the suffix in row after[r]
-    after = np.argsort(bwt, kind="stable")
-    front, rest = owner, owner[after]
-    new = np.append(True, (front[1:] != front[:-1]) | (rest[1:] != rest[:-1]))
-    start = np.nonzero(new)[0]
+    front, rest = owner, owner[np.argsort(bwt, kind="stable")]
+    start = np.nonzero(np.append(True, (front[1:] != front[:-1]) | (rest[1:] != rest[:-1])))[0]
     end = np.append(start[1:], size)
     both = (front[start] >= 0) & (rest[start] >= 0)
     start, end = start[both], end[both]
-    return pa.table(
-        {
-            "shard": pa.array(np.full(len(start), shard.column("shard")[0].as_py(), np.int64)),
-            "low": pa.array(start.astype(np.int32)),
-            "high": pa.array(end.astype(np.int32)),
-            "front": pa.array(ids[front[start]]),
-            "rest": pa.array(ids[rest[start]]),
-        }
-    )
-
-
-def extended(shards: DataFrame, held: DataFrame) -> DataFrame:
-    """One round: intervals (``shard, low, high, front, rest``) from those of ``held`` (``shard, low, high, id``)."""
-
-    def step(left: pa.Table, right: pa.Table) -> pa.Table:
+    return start, end, ids[front[start]], ids[rest[start]]
+
+
+def _parts(front: np.ndarray, rest: np.ndarray, parts: int) -> np.ndarray:
+    """The part that adds up each phrase, by a hash of its two halves."""
+    mixed = front.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rest.astype(np.uint64)
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(factor)
+    return ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+
+
+def _held(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """Intervals and ids of a shard's frequent phrases: rows, or blocks and the answers to them."""
+    if "flags" not in rows.column_names:
+        return tuple(rows.column(c).to_numpy() for c in ("low", "high", "id"))
+    answers = rows.filter(rows.column("flags").is_valid()).select(["part", "flags", "ids"]).to_pylist()
+    answers = {row["part"]: (row["flags"], row["ids"]) for row in answers}
+    low, high, ids = [], [], []
+    blocks = rows.filter(rows.column("low").is_valid())
+    for row in blocks.select(["part", "size", "low", "count"]).to_pylist():
+        flags, named = answers[row["part"]]
+        often = np.unpackbits(np.frombuffer(flags, np.uint8), count=row["size"]).astype(bool)
+        low.append(np.frombuffer(row["low"], "<i4")[often])
+        high.append(low[-1] + np.frombuffer(row["count"], "<i4")[often])
+        ids.append(np.frombuffer(named, "<i8"))
+    return tuple(np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64) for c in (low, high, ids))
+
+
+def extended(transforms: DataFrame, held: DataFrame, parts: int) -> DataFrame:
+    """One round: a block for each part with a shard's extensions of the phrases in ``held``."""
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({f: pa.array([], t) for f, t in _TYPES.items()})
-        return _extended(left, right)
-
-    return shards.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(step, _ROUND)
-
+            return _table(_SENT, {})
+        low, high, front, rest = _extensions(left, *_held(right))
+        part = _parts(front, rest, parts)
+        by = np.lexsort((rest, front, part))
+        low, count, front, rest, part = (c[by] for c in (low, high - low, front, rest, part))
+        cuts = np.nonzero(np.diff(part, prepend=-1))[0]
+        ends = [*cuts[1:], len(part)]
+
+        def blobs(values: np.ndarray, kind: str) -> list[bytes]:
+            values = values.astype(kind)
+            return [values[i:j].tobytes() for i, j in zip(cuts, ends)]
+
+        return _table(
+            _SENT,
+            {
+                "shard": np.full(len(cuts), left.column("shard")[0].as_py()),
+                "part": part[cuts],
+                "size": np.asarray(ends, np.int32)[: len(cuts)] - cuts.astype(np.int32),
+                "front": blobs(front, "<i8"),
+                "rest": blobs(rest, "<i8"),
+                "low": blobs(low, "<i4"),
+                "count": blobs(count, "<i4"),
+            },
+        )
 
-_TYPES = {"shard": pa.int64(), "low": pa.int32(), "high": pa.int32(), "front": pa.int64(), "rest": pa.int64()}
+    return transforms.groupBy("shard").cogroup(held.groupBy("shard")).applyInArrow(send, _schema(_SENT))
+
+
+def counted(sent: DataFrame, least: int) -> DataFrame:
+    """Sums of each part's blocks over all shards: frequent phrases, and an answer to each block."""
+
+    def add(blocks: pa.Table) -> pa.Table:
+        def whole(name: str, kind: str) -> np.ndarray:
+            return np.concatenate([np.frombuffer(b, kind) for b in blocks.column(name).to_pylist()])
+
+        front, rest, count = whole("front", "<i8"), whole("rest", "<i8"), whole("count", "<i4")
+        by = np.lexsort((rest, front))
+        first, second = front[by], rest[by]
+        new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))
+        start = np.nonzero(new)[0]
+        total = np.add.reduceat(count[by].astype(np.int64), start)
+        phrase = np.empty(len(by), np.int64)
+        phrase[by] = np.cumsum(new) - 1
+        often = total >= least
+        ids = (np.int64(blocks.column("part")[0].as_py()) << 32) + np.arange(len(start))
+        names = {"id": ids[often], "front": first[start][often], "rest": second[start][often], "a": total[often]}
+        ends = np.cumsum(blocks.column("size").to_numpy())
+        mine = [phrase[i:j] for i, j in zip([0, *ends[:-1]], ends)]
+        answers = {
+            "shard": blocks.column("shard").to_numpy(),
+            "part": blocks.column("part").to_numpy(),
+            "flags": [np.packbits(often[p]).tobytes() for p in mine],
+            "ids": [ids[p[often[p]]].astype("<i8").tobytes() for p in mine],
+        }
+        return pa.concat_tables([_table(_COUNTED, names), _table(_COUNTED, answers)])
 
+    halves = sent.select("shard", "part", "size", "front", "rest", "count")
+    return halves.groupBy("part").applyInArrow(add, _schema(_COUNTED))
 
-def _frequent(found: DataFrame, keys: list[str], least: int) -> DataFrame:
-    total = found.groupBy(*keys).agg(F.sum((F.col("high") - F.col("low")).cast("long")).alias("a"))
-    return total.filter(F.col("a") >= least)
 
+def frequent_words(words: DataFrame, least: int) -> DataFrame:
+    """Written rows of ``words`` (lang, word, shard, low, high) whose words are counted ``least`` times.
 
-def _holders(found: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFrame:
-    """Intervals of frequent phrases in each shard."""
-    return found.join(frequent.select(*keys, "id"), keys).select("shard", "low", "high", "id")
+    Adds ``a``, the word's count, ``id``, the same for all its rows, and ``first``: true for one of them.
+    """
+    same = Window.partitionBy("lang", "word")
+    rows = words.withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.withColumns(
+        {"a": F.sum((F.col("high") - F.col("low")).cast("long")).over(same), "id": F.min("_row").over(same)}
+    )
+    rows = rows.filter(F.col("a") >= least).withColumn("first", F.col("_row") == F.col("id"))
+    return written(rows.drop("_row"), "words")
 
 
 def phrases(shards: DataFrame, least: int = LEAST, longest: int = LONGEST) -> list[DataFrame]:
@@ -214,27 +306,31 @@ def phrases(shards: DataFrame, least: int = LEAST, longest: int = LONGEST) -> li
     phrase, last, a`` (its count) and ``heads``, ``tails``: counts of its first and last 1, 2, ...
     words, without itself.
     """
-    words = shards.filter("word is not null").withColumn("word", F.col("word").cast("string"))
+    words = shards.filter("word is not null").select("shard", "lang", F.col("word").cast("string").alias("word"), "low", "high")
     transforms = shards.filter("bwt is not null").select(*[F.col(c).alias(c) for c in ("shard", "high", "bwt")])
-    none = F.array().cast("array<bigint>")
-    first = _frequent(words, ["lang", "word"], least).select(
-        F.monotonically_increasing_id().alias("id"),
-        F.lit(None).cast("long").alias("front"),
-        F.lit(None).cast("long").alias("rest"),
-        "lang",
-        F.col("word").alias("phrase"),
-        F.col("word").alias("last"),
-        "a",
-        none.alias("heads"),
-        none.alias("tails"),
-    )
-    levels = [written(first, "words")]
-    held = _holders(words, levels[0].withColumnRenamed("phrase", "word"), ["lang", "word"])
-    while len(levels) < longest:
-        found = written(extended(transforms, held), "extended")
-        longer = written(
-            _frequent(found, ["front", "rest"], least).withColumn("id", F.monotonically_increasing_id()), "frequent"
+    parts = max(1, transforms.select("shard").count() // ADDED)
+    common = frequent_words(words, least)
+    held = common.select("shard", "low", "high", "id")
+    none, unset = F.array().cast("array<bigint>"), F.lit(None).cast("long")
+    levels = [
+        common.filter("first").select(
+            "id",
+            unset.alias("front"),
+            unset.alias("rest"),
+            "lang",
+            F.col("word").alias("phrase"),
+            F.col("word").alias("last"),
+            "a",
+            none.alias("heads"),
+            none.alias("tails"),
         )
+    ]
+    while len(levels) < longest:
+        sent = written(extended(transforms, held, parts), "sent")
+        sums = written(counted(sent, least), "counted")
+        answers = sums.filter("flags is not null").select("shard", "part", "flags", "ids")
+        held = sent.select("shard", "part", "size", "low", "count").unionByName(answers, allowMissingColumns=True)
+        longer = sums.filter("a is not null").select("id", "front", "rest", "a")
         fronts = levels[-1].select(
             F.col("id").alias("front"), "lang", "phrase", F.concat("heads", F.array("a")).alias("heads")
         )
@@ -242,8 +338,6 @@ def phrases(shards: DataFrame, least: int = LEAST, longest: int = LONGEST) -> li
         named = longer.join(fronts, "front").join(rests, "rest")
         text = F.concat_ws(" ", "phrase", "last").alias("phrase")
         levels.append(written(named.select("id", "front", "rest", "lang", text, "last", "a", "heads", "tails"), "phrases"))
-        if len(levels) < longest:
-            held = _holders(found, longer, ["front", "rest"])
     return levels
 
 
