@@ -127,6 +127,44 @@ class PricingTables:
             .drop("_known")
         )
 
+    def of_customer(self, idn_id: str) -> PricingTables:
+        """The same tables with one customer, its contracts, their rebates and transactions."""
+        return CustomerTables(self, idn_id)
+
+
+class CustomerTables(PricingTables):
+    """One customer's part of a table set, by a predicate on the text id."""
+
+    def __init__(self, tables: PricingTables, idn_id: str):
+        self._tables = tables
+        self.idn_id = idn_id
+        self.gpos, self.facilities, self.products = tables.gpos, tables.facilities, tables.products
+
+    def _own(self, df: DataFrame) -> DataFrame:
+        return df.filter(F.col("idn_id") == F.lit(self.idn_id))
+
+    @cached_property
+    def idns(self) -> DataFrame:
+        return self._own(self._tables.idns)
+
+    @cached_property
+    def contracts(self) -> DataFrame:
+        return self._own(self._tables.contracts)
+
+    @cached_property
+    def customer_contracts(self) -> DataFrame:
+        return self._own(self._tables.customer_contracts)
+
+    @cached_property
+    def transactions(self) -> DataFrame:
+        return self._own(self._tables.transactions)
+
+    @cached_property
+    def rebate_programs(self) -> DataFrame:
+        rebates = self._tables.rebate_programs
+        own = self.contracts.select("contract_id")
+        return rebates.join(own, "contract_id", "left_semi").select(rebates.columns)
+
 
 class FrameTables(PricingTables):
     """Tables given as DataFrames, for example read from a store or built in a test."""

@@ -2,8 +2,9 @@
 
 Every function takes an optional tenant and customer; without a customer it answers
 for all of them at once, unsorted, since the orders mean something within a customer
-only.  Both predicates are applied to the tables, not to finished views.  On stored tables
-they reach the scans; on the star source, whose ids are made of keys, they filter the scan.
+only.  Both predicates are applied to the tables, not to finished views.  The customer reaches the
+scans: on stored tables as a predicate on the id, on the star source as one on the keys the ids
+are made of.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ from marginflow.operators.frames import top_per_group
 from marginflow.operators.predicates import for_tenant
 
 
-def _scope(df: DataFrame, tenant: str | None, idn_id: str | None) -> DataFrame:
-    df = for_tenant(df, tenant)
-    return df if idn_id is None else df.filter(F.col("idn_id") == F.lit(idn_id))
+def _of(tables: PricingTables, idn_id: str | None) -> PricingTables:
+    return tables if idn_id is None else tables.of_customer(idn_id)
 
 
 def _sorted(df: DataFrame, idn_id: str | None, *order: str | Column) -> DataFrame:
@@ -38,14 +38,15 @@ def _sorted(df: DataFrame, idn_id: str | None, *order: str | Column) -> DataFram
 def customer_overview(
     tables: PricingTables, tenant: str | None = None, idn_id: str | None = None
 ) -> DataFrame:
-    return _scope(views.customer_performance(tables), tenant, idn_id)
+    return for_tenant(views.customer_performance(_of(tables, idn_id)), tenant)
 
 
 def contract_portfolio(
     tables: PricingTables, tenant: str | None = None, idn_id: str | None = None
 ) -> DataFrame:
     """Contracts with margin, revenue and risk; Unknown where the customer is missing."""
-    totals = views.contract_totals(_scope(tables.transactions, tenant, idn_id))
+    tables = _of(tables, idn_id)
+    totals = views.contract_totals(for_tenant(tables.transactions, tenant))
     margin = avg_units(
         F.col("margin_units"), F.col("margin_count"), PERCENT_SUM_PLACES, PERCENT_PLACES
     )
@@ -55,7 +56,7 @@ def contract_portfolio(
         return F.coalesce(F.when(known, value), F.lit(missing))
 
     rows = (
-        _scope(tables.customer_contracts, tenant, idn_id)
+        for_tenant(tables.customer_contracts, tenant)
         .join(totals, ["tenant_id", "contract_id"], "left")
         .select(
             "tenant_id",
@@ -83,7 +84,7 @@ def pricing_by_category(
     tables: PricingTables, tenant: str | None = None, idn_id: str | None = None
 ) -> DataFrame:
     rows = (
-        _scope(tables.transactions, tenant, idn_id)
+        for_tenant(_of(tables, idn_id).transactions, tenant)
         .groupBy("tenant_id", "idn_id", "device_category")
         .agg(
             avg_money("list_price").alias("avg_list"),
@@ -106,7 +107,7 @@ def recent_transactions(
     product up afterwards gives the same rows with a far smaller join.
     """
     newest = top_per_group(
-        _scope(tables.transactions, tenant, idn_id).select(
+        for_tenant(_of(tables, idn_id).transactions, tenant).select(
             "tenant_id",
             "idn_id",
             "product_id",
@@ -144,7 +145,8 @@ def recent_transactions(
 def rebates_of_customer(
     tables: PricingTables, tenant: str | None = None, idn_id: str | None = None
 ) -> DataFrame:
-    contracts = _scope(tables.contracts, tenant, idn_id).select("tenant_id", "idn_id", "contract_id")
+    tables = _of(tables, idn_id)
+    contracts = for_tenant(tables.contracts, tenant).select("tenant_id", "idn_id", "contract_id")
     rows = tables.rebate_programs.join(contracts, "contract_id").select(
         "tenant_id",
         "idn_id",

@@ -24,18 +24,12 @@ from marginflow.functions.numeric import (
 )
 from marginflow.model import ATTENTION_STATUSES, RISK_STATUSES
 from marginflow.operators.predicates import ALL
+from marginflow.operators.views import WATERFALL_MEASURES, waterfall_average
 
-_SALTS = 32
+#: Up to how many rows of a group Spark cuts ranks before a shuffle.
+_RANK_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
-_WATERFALL_MEASURES = (
-    "avg_list_price",
-    "avg_contract_discount",
-    "avg_gpo_fee",
-    "avg_rebate",
-    "avg_lowest_net",
-    "avg_margin",
-    "avg_cost",
-)
+_WATERFALL_MEASURES = tuple(WATERFALL_MEASURES)
 
 # Label, kind of step, source column, sign (0 for a running total).
 WATERFALL_STEPS = (
@@ -136,22 +130,29 @@ def waterfall_all(view: DataFrame) -> DataFrame:
 
 
 def waterfall_weighted(view: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Mean weighted by the number of transactions of each category."""
-    weights = transactions.groupBy("tenant_id", "device_category").agg(
-        F.count(F.lit(1)).alias("_lines")
-    )
+    """Mean weighted by the number of transactions of each category, for a finished view.
+
+    ``waterfall_by_lines`` gives the same from one scan.
+    """
+    weights = transactions.groupBy("tenant_id", "device_category").agg(F.count(F.lit(1)).alias("lines"))
+    return _weighted_by_lines(view.join(weights, ["tenant_id", "device_category"]))
+
+
+def waterfall_by_lines(states: DataFrame) -> DataFrame:
+    """Mean weighted by the number of transactions of each category, from ``waterfall_states``."""
+    averages = [waterfall_average(name) for name in _WATERFALL_MEASURES]
+    return _weighted_by_lines(states.select("tenant_id", "device_category", "lines", *averages))
+
+
+def _weighted_by_lines(view: DataFrame) -> DataFrame:
     means = [
         (
-            F.sum(cents(name) * F.col("_lines")).cast("double")
-            / (F.sum("_lines") * F.lit(10**CENT_PLACES)).cast("double")
+            F.sum(cents(name) * F.col("lines")).cast("double")
+            / (F.sum("lines") * F.lit(10**CENT_PLACES)).cast("double")
         ).alias(name)
         for name in _WATERFALL_MEASURES
     ]
-    return (
-        view.join(weights, ["tenant_id", "device_category"])
-        .groupBy("tenant_id")
-        .agg(F.lit(ALL).alias("device_category"), *means)
-    )
+    return view.groupBy("tenant_id").agg(F.lit(ALL).alias("device_category"), *means)
 
 
 def waterfall_steps(view: DataFrame) -> DataFrame:
@@ -255,16 +256,14 @@ def deal_structure_mix(view: DataFrame) -> DataFrame:
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """First ``n`` rows of each group, by one plan for every ``n``.
 
-    Groups are cut to ``n`` within salted parts, so the last window sees at most ``n`` rows
-    of each part, however heavy the group.
+    The rank filter cuts a group to ``n`` rows in each map task and again behind the one
+    exchange.  Spark does so up to a limit of its session, which is raised where it is below ``n``.
     """
-
-    def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
-
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in df.columns]), F.lit(_SALTS))
-    return ranked(ranked(df.withColumn("_salt", salt), [*keys, "_salt"]).drop("_salt"), keys)
+    conf = df.sparkSession.conf
+    if -1 < int(conf.get(_RANK_LIMIT)) < n:
+        conf.set(_RANK_LIMIT, str(n))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
 def top_customers(view: DataFrame, n: int = 20) -> DataFrame:

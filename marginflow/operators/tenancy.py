@@ -24,13 +24,17 @@ class ScopedTables(PricingTables):
     """One tenant's part of a table set, or one customer's; reference tables are shared."""
 
     def __init__(self, tables: PricingTables, tenant: str, idn_id: str | None = None):
-        self._tables = tables
+        self._tables = tables if idn_id is None else tables.of_customer(idn_id)
         self.tenant = tenant
         self.idn_id = idn_id
 
     def _own(self, df: DataFrame) -> DataFrame:
-        df = for_tenant(df, self.tenant)
-        return df if self.idn_id is None else df.filter(F.col("idn_id") == F.lit(self.idn_id))
+        return for_tenant(df, self.tenant)
+
+    def of_customer(self, idn_id: str) -> PricingTables:
+        if self.idn_id not in (None, idn_id):
+            raise ValueError("these tables already hold one other customer")
+        return ScopedTables(self._tables, self.tenant, idn_id)
 
     @contextmanager
     def held(self) -> Iterator[ScopedTables]:

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginflow.functions.numeric import (
+    CENT_PLACES,
+    MONEY_SUM_PLACES,
     PERCENT_PLACES,
     PERCENT_SUM_PLACES,
-    avg_money,
     avg_percent,
     avg_share_as_percent,
     avg_units,
@@ -38,16 +39,38 @@ def portfolio_summary(tables: PricingTables) -> DataFrame:
     )
 
 
+# Measures of the price waterfall and the columns they average.
+WATERFALL_MEASURES = {
+    "avg_list_price": "list_price",
+    "avg_contract_discount": "list_price - invoice_price",
+    "avg_gpo_fee": "gpo_admin_fee",
+    "avg_rebate": "rebate_amount",
+    "avg_lowest_net": "lowest_net_price",
+    "avg_margin": "margin",
+    "avg_cost": "unit_cost",
+}
+
+
+def waterfall_states(tables: PricingTables) -> DataFrame:
+    """Lines, and unit total and count of each measure, per tenant and category.
+
+    States add up, so averages over any coarser group come from the same scan.
+    """
+    states = [F.count(F.lit(1)).alias("lines")]
+    for name, value in WATERFALL_MEASURES.items():
+        amount = units(F.expr(value), MONEY_SUM_PLACES)
+        states += [F.sum(amount).alias(f"{name}_units"), F.count(amount).alias(f"{name}_count")]
+    return tables.transactions.groupBy("tenant_id", "device_category").agg(*states)
+
+
+def waterfall_average(name: str) -> Column:
+    """The average of a measure, from its state."""
+    return avg_units(F.col(f"{name}_units"), F.col(f"{name}_count"), MONEY_SUM_PLACES, CENT_PLACES).alias(name)
+
+
 def price_waterfall(tables: PricingTables) -> DataFrame:
-    given = F.col("list_price") - F.col("invoice_price")
-    return tables.transactions.groupBy("tenant_id", "device_category").agg(
-        avg_money("list_price").alias("avg_list_price"),
-        avg_money(given).alias("avg_contract_discount"),
-        avg_money("gpo_admin_fee").alias("avg_gpo_fee"),
-        avg_money("rebate_amount").alias("avg_rebate"),
-        avg_money("lowest_net_price").alias("avg_lowest_net"),
-        avg_money("margin").alias("avg_margin"),
-        avg_money("unit_cost").alias("avg_cost"),
+    return waterfall_states(tables).select(
+        "tenant_id", "device_category", *[waterfall_average(name) for name in WATERFALL_MEASURES]
     )
 
 

@@ -454,9 +454,7 @@ _query("c1_waterfall_category")(
     lambda t: frames.waterfall_category(views.price_waterfall(t), "Consumables")
 )
 _query("c2_waterfall_all")(lambda t: frames.waterfall_all(views.price_waterfall(t)))
-_query("c2_waterfall_weighted")(
-    lambda t: frames.waterfall_weighted(views.price_waterfall(t), t.transactions)
-)
+_query("c2_waterfall_weighted")(lambda t: frames.waterfall_by_lines(views.waterfall_states(t)))
 _query("c3_waterfall_steps")(lambda t: frames.waterfall_steps(views.price_waterfall(t)))
 _query("c3_waterfall_steps_all")(
     lambda t: frames.waterfall_steps(frames.waterfall_all(views.price_waterfall(t)))
@@ -517,6 +515,23 @@ _query("q3_pricing_by_category")(lambda t: customer.pricing_by_category(t))
 _query("q4_recent_transactions")(lambda t: customer.recent_transactions(t))
 _query("q5_rebate_programs")(lambda t: customer.rebates_of_customer(t))
 
+ONE_CUSTOMER = "12"
+
+
+def _register_one_customer() -> None:
+    """The same five reports of one customer, whose key reaches the scans."""
+    for name, report in {
+        "q1_customer_overview": customer.customer_overview,
+        "q2_contract_portfolio": customer.contract_portfolio,
+        "q3_pricing_by_category": customer.pricing_by_category,
+        "q4_recent_transactions": customer.recent_transactions,
+        "q5_rebate_programs": customer.rebates_of_customer,
+    }.items():
+        _query(f"{name}_one")(lambda t, report=report: report(t, None, ONE_CUSTOMER))
+
+
+_register_one_customer()
+
 # --- questions --------------------------------------------------------------
 
 _query("n1_revenue_by_category")(lambda t: questions.revenue_by_category(t))

@@ -902,6 +902,9 @@ def _bodies() -> dict[str, str]:
                CAST(rebate_pct AS DOUBLE) AS rebate_pct, trigger_type, trigger_threshold, orientation, earned
         FROM customer_rebates
     """
+    for name in ("q1_customer_overview", "q2_contract_portfolio", "q3_pricing_by_category",
+                 "q4_recent_transactions", "q5_rebate_programs"):
+        q[f"{name}_one"] = f"SELECT * FROM ({q[name]}) report WHERE idn_id = '12'"
 
     q["n1_revenue_by_category"] = f"""
         SELECT device_category, {REVENUE} AS total_revenue FROM transactions GROUP BY device_category

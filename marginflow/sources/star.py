@@ -13,12 +13,36 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginflow.functions.keys import has_id, key_of, text_of
 from marginflow.functions.numeric import CENT_PLACES, cents, div_half_up, from_units
 from marginflow.model import DEVICE_CATEGORIES, PricingTables, REBATE_RULES, conform, lookup
 from marginflow.operators import derive
 
 AS_OF = dt.date(2000, 1, 15)
 
+# Columns of the order-entry tables.  Declared, so that opening a table reads no file.
+RAW_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+        "l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+}
+
+#: Orders of one customer up to which they are sent to the lines, not the lines to them.
+FEW_ORDERS = 100_000
+
 # Buying group id, customer segment it stands for, fee rate.
 BUYING_GROUPS = (
     ("GPO-001", "AUTOMOBILE", 0.03),
@@ -56,13 +80,53 @@ def _hundredths(value: Column) -> Column:
 
 
 class StarTables(PricingTables):
-    def __init__(self, spark: SparkSession, directory: str, as_of: dt.date = AS_OF):
+    """The seven tables of a directory.
+
+    ``schemas``: columns of its raw tables; those not declared are read from the files.
+    ``idn_id``: the one customer to read, see ``of_customer``.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        directory: str,
+        as_of: dt.date = AS_OF,
+        schemas: dict[str, str] | None = None,
+        idn_id: str | None = None,
+    ):
         self.spark = spark
         self.directory = directory.rstrip("/")
         self.as_of = as_of
+        self.schemas = RAW_SCHEMAS if schemas is None else schemas
+        self.idn_id = idn_id
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        reader = self.spark.read
+        if name in self.schemas:
+            reader = reader.schema(self.schemas[name])
+        return reader.parquet(f"{self.directory}/{name}.parquet")
+
+    def of_customer(self, idn_id: str) -> PricingTables:
+        """As in the base class; the id becomes a predicate on the keys of the raw tables."""
+        if self.idn_id not in (None, idn_id):
+            raise ValueError("these tables already hold one other customer")
+        return StarTables(self.spark, self.directory, self.as_of, self.schemas, idn_id)
+
+    def _own(self, name: str, key: str) -> DataFrame:
+        """Rows of a raw table whose customer ``key`` is the one asked for."""
+        rows = self.raw(name)
+        return rows if self.idn_id is None else rows.filter(has_id(F.col(key), self.idn_id))
+
+    @cached_property
+    def _few_orders(self) -> bool:
+        """Whether the customer's orders are few enough to be sent to every task.
+
+        Counted by a scan of one column with the key pushed down.
+        """
+        if self.idn_id is None or key_of(self.idn_id) is None:
+            return False
+        own = self._own("orders", "o_custkey").select("o_custkey")
+        return own.limit(FEW_ORDERS + 1).count() <= FEW_ORDERS
 
     @cached_property
     def _rate_card(self) -> DataFrame:
@@ -108,7 +172,7 @@ class StarTables(PricingTables):
         )
         groups = {name: gpo for gpo, name, _ in BUYING_GROUPS}
         return (
-            self.raw("customer")
+            self._own("customer", "c_custkey")
             .select(
                 F.col("c_custkey").alias("idn_key"),
                 F.col("c_name").alias("name"),
@@ -125,7 +189,7 @@ class StarTables(PricingTables):
         spend = F.col("facility_count").cast("bigint") * (F.col("idn_key") % 6000000 + 2000000)
         return conform(
             self._customers.withColumns(
-                {"idn_id": F.col("idn_key").cast("string"), "annual_spend": spend}
+                {"idn_id": text_of(F.col("idn_key")), "annual_spend": spend}
             ),
             "idns",
         )
@@ -143,7 +207,7 @@ class StarTables(PricingTables):
             .withColumns(
                 {
                     "facility_id": derive.surrogate_id("FAC", key, 5),
-                    "idn_id": key.cast("string"),
+                    "idn_id": text_of(key),
                     "facility_type": kind,
                     "name": F.concat(F.col("s_name"), F.lit(" - "), kind),
                     "bed_count": beds,
@@ -168,7 +232,7 @@ class StarTables(PricingTables):
     @cached_property
     def products(self) -> DataFrame:
         return conform(
-            self._parts.withColumn("product_id", F.col("product_key").cast("string")), "products"
+            self._parts.withColumn("product_id", text_of(F.col("product_key"))), "products"
         )
 
     @cached_property
@@ -187,7 +251,7 @@ class StarTables(PricingTables):
             "idn_key", "gpo_id", F.col("name").alias("idn_name"), F.col("tier").alias("idn_tier"), "region"
         )
         return (
-            self.raw("orders")
+            self._own("orders", "o_custkey")
             .select(
                 F.col("o_orderkey").alias("contract_key"),
                 F.col("o_custkey").alias("idn_key"),
@@ -216,8 +280,8 @@ class StarTables(PricingTables):
     def _named_deals(self) -> DataFrame:
         return self._deals.withColumns(
             {
-                "contract_id": F.col("contract_key").cast("string"),
-                "idn_id": F.col("idn_key").cast("string"),
+                "contract_id": text_of(F.col("contract_key")),
+                "idn_id": text_of(F.col("idn_key")),
             }
         )
 
@@ -245,13 +309,13 @@ class StarTables(PricingTables):
         low = lookup(F.col("rebate_type"), {k: round(v[0] * 1000) for k, v in REBATE_RATES.items()})
         step = lookup(F.col("rebate_type"), {k: round(v[1] * 1000) for k, v in REBATE_RATES.items()})
         return conform(
-            self.raw("orders")
+            self._own("orders", "o_custkey")
             .select("o_orderkey", F.explode(F.sequence(F.lit(0), (key % 3).cast("int"))).alias("slot"))
             .withColumn("rebate_type", kind)
             .withColumns(
                 {
                     "rebate_id": F.concat_ws("-", key, F.col("slot")),
-                    "contract_id": key.cast("string"),
+                    "contract_id": text_of(key),
                     "rebate_pct": from_units(low + step * (key % 6), 3),
                     "trigger_type": derive.trigger_for(F.col("rebate_type")),
                     "trigger_threshold": _hundredths((key + slot) % 41 + 50),
@@ -291,20 +355,21 @@ class StarTables(PricingTables):
 
         Orders and their lines grow together, so neither side is ever a broadcast side.
         The merge hint says so where the estimate of a few pruned columns does not, and
-        keeps the join able to spill and to split a heavy order.
+        keeps the join able to spill and to split a heavy order.  The orders of one
+        customer are counted first: while they are few, the lines stay where they are.
         """
         products = self._parts.select("product_key", "list_price", F.col("cost").alias("unit_cost"))
         deals = self._deals.drop("duration_months", "idn_name")
         return derive.price_transactions(
-            self.lines, deals.hint("merge"), products, self.gpos, "contract_key", "product_key"
+            self.lines, deals.hint("broadcast" if self._few_orders else "merge"), products, self.gpos, "contract_key", "product_key"
         ).withColumns(
             {
                 "transaction_id": F.concat_ws(
                     "-", "contract_key", "l_linenumber", "product_key", "l_suppkey", "quantity"
                 ),
-                "contract_id": F.col("contract_key").cast("string"),
-                "idn_id": F.col("idn_key").cast("string"),
-                "product_id": F.col("product_key").cast("string"),
+                "contract_id": text_of(F.col("contract_key")),
+                "idn_id": text_of(F.col("idn_key")),
+                "product_id": text_of(F.col("product_key")),
             }
         )
 

@@ -1,13 +1,18 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import fixtures as fx
+from conftest import SMALL
 from marginflow.functions.calendar import contract_status
+from marginflow.functions.keys import has_id, key_of
 from marginflow.operators import accessors, customer, derive, frames, kpis, questions, views
 from marginflow.operators.predicates import Filters, apply_filters, for_tenant
 from marginflow.operators.tenancy import ScopedTables, TenantSession
+from marginflow.sources import star as star_source
+from marginflow.sources.star import StarTables
 
 
 def rows(df):
@@ -407,6 +412,8 @@ def test_mean_of_categories_and_weighted_mean_differ(spark):
     view = views.price_waterfall(tables)
     assert frames.waterfall_all(view).first().avg_list_price == 15.0
     assert frames.waterfall_weighted(view, tables.transactions).first().avg_list_price == 19.0
+    by_lines = frames.waterfall_by_lines(views.waterfall_states(tables))
+    assert rows(by_lines) == rows(frames.waterfall_weighted(view, tables.transactions))
 
 
 def test_waterfall_steps(spark):
@@ -428,7 +435,7 @@ def test_ties_are_settled_by_the_last_key(spark):
     assert sorted(r.idn_id for r in frames.top_customers(df, 2).collect()) == ["a", "b"]
 
 
-def test_long_top_lists_are_cut_in_salted_parts(spark):
+def test_long_top_lists_are_cut_before_the_one_shuffle(spark):
     df = spark.range(6000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("tenant_id"),
         F.col("id").cast("string").alias("idn_id"),
@@ -441,7 +448,10 @@ def test_long_top_lists_are_cut_in_salted_parts(spark):
         expected |= {(tenant, i) for _, i in sorted(mine, key=lambda x: (-x[0], x[1]))[:n]}
     got = frames.top_customers(df, n)
     assert {(r.tenant_id, r.idn_id) for r in got.collect()} == expected
-    assert "_salt" in got._jdf.queryExecution().executedPlan().toString()
+    for most in (20, n):
+        plan = frames.top_customers(df, most)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"WindowGroupLimit.*Partial", plan) and re.search(r"WindowGroupLimit.*Final", plan)
+        assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_risk_distribution_is_zero_filled(two_tenants):
@@ -472,6 +482,63 @@ def test_drill_down_of_one_customer(two_tenants):
     assert customer.customer_overview(two_tenants, "t1", "I9").count() == 0
 
 
+REPORTS = (
+    customer.customer_overview,
+    customer.contract_portfolio,
+    customer.pricing_by_category,
+    customer.recent_transactions,
+    customer.rebates_of_customer,
+)
+
+
+@pytest.mark.parametrize("text, key", (("12", 12), ("-3", -3), ("0", 0), ("012", None), ("+1", None), ("", None),
+                                       ("-", None), (" 1", None), ("1.0", None), ("٣", None), (str(1 << 63), None)))
+def test_keys_of_ids(spark, text, key):
+    """An id has a key exactly if that key's text is the id."""
+    assert key_of(text) == key
+    found = spark.range(-5, 20).filter(has_id(F.col("id"), text)).collect()
+    assert [r.id for r in found] == ([] if key is None else [key])
+
+
+@pytest.mark.parametrize("report", REPORTS)
+def test_customer_reaches_the_scans_of_the_star_source(spark, report):
+    """The id becomes a predicate on the raw keys; few orders are sent to the lines, which stay in place."""
+    star = StarTables(spark, SMALL)
+    heaviest = star.transactions.groupBy("idn_id").count().orderBy(F.desc("count"), "idn_id").first().idn_id
+    one = report(star, None, heaviest)
+    rows_of_one = one.collect()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert f"EqualTo(o_custkey,{heaviest})" in plan
+    if report is customer.customer_overview:
+        assert f"EqualTo(c_custkey,{heaviest})" in plan
+    whole = report(star).filter(F.col("idn_id") == heaviest).collect()
+    assert len(whole) > 0 and sorted(map(str, rows_of_one)) == sorted(map(str, whole))
+    assert report(star, None, "0" + heaviest).count() == 0
+    lines = star.of_customer(heaviest).transactions._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in lines and "hashpartitioning(l_orderkey" not in lines
+
+
+def test_many_orders_of_a_customer_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(star_source, "FEW_ORDERS", 0)
+    star = StarTables(spark, SMALL)
+    some = star.contracts.first().idn_id
+    scoped = star.of_customer(some)
+    assert not scoped._few_orders
+    assert scoped.transactions.count() == star.transactions.filter(F.col("idn_id") == some).count()
+
+
+def test_customer_of_any_tables(two_tenants):
+    own = two_tenants.of_customer("I1")
+    for name in ("idns", "contracts", "transactions"):
+        assert {r.idn_id for r in getattr(own, name).collect()} == {"I1"}
+    ids = {r.contract_id for r in own.contracts.collect()}
+    assert {r.contract_id for r in own.rebate_programs.collect()} <= ids
+    scoped = ScopedTables(two_tenants, "t1").of_customer("I1")
+    assert {(r.tenant_id, r.idn_id) for r in scoped.contracts.collect()} == {("t1", "I1")}
+    with pytest.raises(ValueError):
+        scoped.of_customer("I2")
+
+
 def test_recent_transactions_newest_first(spark):
     days = [fx.DAY - dt.timedelta(days=i) for i in range(5)]
     lines = [fx.line(f"L{i}", transaction_date=d) for i, d in enumerate(days)]
