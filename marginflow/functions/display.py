@@ -50,3 +50,8 @@ def display_text(value: Column, kind: Column) -> Column:
         .when(kind == "percent", percent(shown))
         .otherwise(grouped_integer(shown))
     )
+
+
+def attention_note(value: Column) -> Column:
+    """What the card of the deals at risk says below their number."""
+    return F.concat(value.cast("bigint").cast("string"), F.lit(" need attention"))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginflow.functions.display import currency, display_text, grouped_integer, percent
+from marginflow.functions.display import attention_note, currency, display_text, grouped_integer, percent
 from marginflow.functions.numeric import (
     PERCENT_PLACES,
     PERCENT_SUM_PLACES,
@@ -24,6 +24,7 @@ from marginflow.functions.numeric import (
 )
 from marginflow.model import ATTENTION_STATUSES, PricingTables
 from marginflow.operators import customer, views
+from marginflow.operators.fusion import fused
 from marginflow.operators.predicates import (
     VIEW_DIMENSIONS,
     Filters,
@@ -112,16 +113,17 @@ def with_alert(df: DataFrame, threshold: float, value: str = "value") -> DataFra
     return df.withColumn("alert", F.coalesce(F.col(value) > F.lit(threshold), F.lit(False)))
 
 
-def portfolio_kpis(
+def portfolio_totals(
     tables: PricingTables,
     tenant: str | None = None,
     filters: Filters | None = None,
-    alert_threshold: int = 10,
+    base_year: int | None = None,
 ) -> DataFrame:
-    """The four page KPIs, a row each, from one pass over the transactions.
+    """``revenue, margin, active, risk, base_revenue`` in one row, from one pass over the transactions.
 
     Lines are totalled per contract, once for the risk rule and once more for the
-    lines the filters keep; the contract table then supplies status and risk.
+    lines the filters keep; the contract table then supplies status and risk.  Totals and averages
+    of nothing are NULL; ``base_revenue`` is that of ``base_year``.
     """
     chosen = filters or Filters()
     lines = for_tenant(tables.transactions, tenant)
@@ -137,36 +139,51 @@ def portfolio_kpis(
         matches = matches & F.coalesce("_in_gpo", F.lit(False))
     margin = units("margin_pct", PERCENT_SUM_PLACES)
     kept_margin = F.when(matches, margin)
+    money = money_units("invoice_price", "quantity")
+    based = F.lit(None).cast("bigint")
+    if base_year is not None:
+        based = F.when(matches & (F.col("year") == base_year), money)
     per_contract = lines.groupBy("tenant_id", "contract_id").agg(
         F.count(margin).alias("margin_count"),
         F.sum(margin).alias("margin_units"),
         F.count(kept_margin).alias("kept_count"),
         F.sum(kept_margin).alias("kept_units"),
-        F.sum(F.when(matches, money_units("invoice_price", "quantity"))).alias("kept_money"),
+        F.sum(F.when(matches, money)).alias("kept_money"),
+        F.sum(based).alias("base_money"),
     )
     at_risk = (
         F.col("customer_known")
         & views.risk_status(F.col("margin_units"), F.col("margin_count")).isin(*ATTENTION_STATUSES)
         & dimension_condition(chosen, VIEW_DIMENSIONS["risk"])
     )
-    totals = (
+    mean = avg_units(F.sum("kept_units"), F.sum("kept_count"), PERCENT_SUM_PLACES, PERCENT_PLACES)
+    return (
         for_tenant(tables.customer_contracts, tenant)
         .join(per_contract, ["tenant_id", "contract_id"], "left")
         .agg(
-            or_zero(money_total(F.sum("kept_money"))).alias("revenue"),
-            or_zero(
-                avg_units(F.sum("kept_units"), F.sum("kept_count"), PERCENT_SUM_PLACES, PERCENT_PLACES)
-            ).alias("margin"),
+            money_total(F.sum("kept_money")).alias("revenue"),
+            mean.alias("margin"),
             F.count_if(F.col("status") == "Active").cast("double").alias("active"),
             F.count_if(at_risk).cast("double").alias("risk"),
+            money_total(F.sum("base_money")).alias("base_revenue"),
         )
     )
 
+
+def portfolio_kpis(
+    tables: PricingTables,
+    tenant: str | None = None,
+    filters: Filters | None = None,
+    alert_threshold: int = 10,
+) -> DataFrame:
+    """The four page KPIs, a row each; ``note`` is the remark on the card of the deals at risk."""
+    totals = portfolio_totals(tables, tenant, filters)
+
     def row(key: str, label: str, value: str, kind: str, alert: Column) -> Column:
         return F.struct(
             F.lit(key).alias("metric"),
             F.lit(label).alias("label"),
-            F.col(value).alias("value"),
+            or_zero(F.col(value)).alias("value"),
             F.lit(kind).alias("format"),
             alert.alias("alert"),
         )
@@ -180,7 +197,12 @@ def portfolio_kpis(
     return (
         totals.select(F.explode(rows).alias("k"))
         .select("k.*")
-        .withColumn("text", display_text(F.col("value"), F.col("format")))
+        .withColumns(
+            {
+                "text": display_text(F.col("value"), F.col("format")),
+                "note": F.when(F.col("metric") == "at_risk_deals", attention_note(F.col("value"))),
+            }
+        )
     )
 
 
@@ -204,7 +226,10 @@ def customer_kpis(
 
 @dataclass(frozen=True)
 class Metric:
-    """A configured KPI: its SQL yields one value, ``delta_sql`` an optional base value."""
+    """A configured KPI: its SQL yields one value, ``delta_sql`` an optional base value.
+
+    ``measure`` and ``delta_measure`` name columns of ``portfolio_totals`` that hold the same values.
+    """
 
     key: str
     label: str
@@ -212,32 +237,44 @@ class Metric:
     format: str = "integer"
     delta_sql: str | None = None
     alert_threshold: float | None = None
+    measure: str | None = None
+    delta_measure: str | None = None
 
 
 # The configured KPIs.  Totals are exact decimals, rounded once.
 _REVENUE_SQL = (
     "SELECT cast(round(sum(cast(invoice_price AS decimal(18, 4)) * quantity), 2) AS double) FROM transactions"
 )
+_BASE_YEAR = 1999
 DEFAULT_METRICS = (
     Metric(
-        "total_revenue", "Total Revenue", _REVENUE_SQL, "currency", f"{_REVENUE_SQL} WHERE year = 1999"
+        "total_revenue",
+        "Total Revenue",
+        _REVENUE_SQL,
+        "currency",
+        f"{_REVENUE_SQL} WHERE year = {_BASE_YEAR}",
+        measure="revenue",
+        delta_measure="base_revenue",
     ),
     Metric(
         "avg_margin",
         "Avg Margin %",
         "SELECT round(avg(cast(margin_pct AS decimal(12, 6))), 1) FROM transactions",
         "percent",
+        measure="margin",
     ),
     Metric(
         "active_contracts",
         "Active Contracts",
         "SELECT count(*) FROM contracts WHERE status = 'Active'",
+        measure="active",
     ),
     Metric(
         "at_risk_deals",
         "At-Risk Deals",
         "SELECT count(*) FROM v_contract_risk WHERE risk_status IN ('Critical', 'At Risk')",
         alert_threshold=10,
+        measure="risk",
     ),
 )
 
@@ -259,25 +296,42 @@ def load_metrics(path: str) -> list[Metric]:
         return metrics_from_config(yaml.safe_load(handle))
 
 
+def _values(metric: Metric) -> tuple[tuple[str | None, str | None], ...]:
+    """(text, measure) of a metric's value and of its base."""
+    return (metric.sql, metric.measure), (metric.delta_sql, metric.delta_measure)
+
+
 def metric_table(session: TenantSession, metrics: Iterable[Metric] = DEFAULT_METRICS) -> DataFrame:
     """One row per configured metric, evaluated inside the tenant's session.
 
-    Every value is a scalar sub-query of one statement; Spark runs them side by side.
-    ``portfolio_kpis`` is the one-pass way to the built-in four.
+    Metrics with a measure share one pass over the transactions; the other texts are fused into one
+    aggregate for each relation, and what can't be fused is a sub-query of its own.
     """
-
-    def value_of(sql: str | None) -> Column:
+    metrics = list(metrics)
+    texts = [text for m in metrics for text, measure in _values(m) if text is not None and measure is None]
+    places, queries = fused(texts)
+    passes = {f"_{source}": session.sql(query) for source, query in queries.items()}
+    if any(measure is not None for m in metrics for _, measure in _values(m)):
+        passes["_totals"] = portfolio_totals(session.tables, base_year=_BASE_YEAR)
+    shared = [one_row.select(F.struct("*").alias("values")).scalar().alias(name) for name, one_row in passes.items()]
+
+    def value_of(sql: str | None, measure: str | None) -> Column:
+        if measure is not None:
+            return F.col("_totals")[measure].cast("double")
         if sql is None:
             return F.lit(None).cast("double")
+        if sql in places:
+            source, place = places[sql]
+            return F.col(f"_{source}")[f"m{place}"].cast("double")
         return session.value(sql).cast("double")
 
     rows = [
         F.struct(
             F.lit(metric.key).alias("metric"),
             F.lit(metric.label).alias("label"),
-            value_of(metric.sql).alias("value"),
+            value_of(*_values(metric)[0]).alias("value"),
             F.lit(metric.format).alias("format"),
-            value_of(metric.delta_sql).alias("delta_base"),
+            value_of(*_values(metric)[1]).alias("delta_base"),
             F.lit(metric.alert_threshold).cast("double").alias("alert_threshold"),
         )
         for metric in metrics
@@ -285,6 +339,7 @@ def metric_table(session: TenantSession, metrics: Iterable[Metric] = DEFAULT_MET
     alert = F.coalesce(F.col("value") > F.col("alert_threshold"), F.lit(False))
     return (
         session.spark.range(1)
+        .select("id", *shared)
         .select(F.inline(F.array(*rows)))
         .withColumns(
             {"alert": alert, "text": display_text(F.col("value"), F.col("format"))}

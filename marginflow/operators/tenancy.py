@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import cached_property
@@ -14,11 +13,9 @@ from pyspark.sql.types import NumericType
 
 from marginflow.model import TABLE_NAMES, PricingTables
 from marginflow.operators.predicates import for_tenant
+from marginflow.operators.resolved import check_resolved
 from marginflow.operators.views import VIEWS, register_views
 
-#: Functions that call any Java method.
-_REFLECTIVE = re.compile(r"\b(?:try_)?reflect\b|\bjava_method\b", re.IGNORECASE)
-
 
 class ScopedTables(PricingTables):
     """One tenant's part of a table set, or one customer's; reference tables are shared."""
@@ -90,9 +87,10 @@ class TenantSession:
 
     Isolation does not depend on the text of a query: relations are filtered before
     they are registered.  The text runs as a sub-query, which admits one SELECT and
-    rejects settings, DDL and writes; reading files by path is switched off, and a text
-    that so much as mentions a reflective function is refused.  This is a guard for
-    honest queries, not a substitute for storage permissions.
+    rejects settings, DDL and writes; reading files by path is switched off.  What the
+    text resolves to is checked before it is returned: registered relations only, no call
+    of Java methods, scripts or user functions, however they are spelled.  This is a guard
+    for honest queries, not a substitute for storage permissions.
     """
 
     def __init__(
@@ -107,14 +105,14 @@ class TenantSession:
         self._registered: set[str] = set()
 
     def sql(self, text: str, args: dict | list | None = None) -> DataFrame:
-        if _REFLECTIVE.search(text):
-            raise ValueError("reflective functions are not admitted in a tenant's query")
         lowered = text.lower()
         mentioned = [n for n in (*TABLE_NAMES, *VIEWS) if n in lowered and n not in self._registered]
         if mentioned:
             self._registered.update(register_views(self.tables, tuple(mentioned)))
         body = text.strip().rstrip(";")
-        return self.spark.sql(f"SELECT * FROM (\n{body}\n) AS answer", args)
+        answer = self.spark.sql(f"SELECT * FROM (\n{body}\n) AS answer", args)
+        check_resolved(answer, self._registered)
+        return answer
 
     def value(self, text: str, args: dict | list | None = None) -> Column:
         """First column of the first row as a scalar sub-query, in its own type.

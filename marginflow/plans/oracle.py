@@ -453,7 +453,8 @@ def _portfolio_row(lines: str, risk: str) -> str:
     return f"""
         WITH_PARTS SELECT metric, label, value, format, metric = 'at_risk_deals' AND value > 10 AS alert,
                CASE format WHEN 'currency' THEN {_currency("value")}
-                    WHEN 'percent' THEN {_percent("value")} ELSE {_grouped("value")} END AS text
+                    WHEN 'percent' THEN {_percent("value")} ELSE {_grouped("value")} END AS text,
+               CASE metric WHEN 'at_risk_deals' THEN CAST(CAST(value AS BIGINT) AS VARCHAR) || ' need attention' END AS note
         FROM (
             SELECT 'total_revenue' AS metric, 'Total Revenue' AS label,
                    COALESCE({REVENUE}, 0) AS value, 'currency' AS format

@@ -9,6 +9,7 @@ from conftest import SMALL
 from marginflow.functions.calendar import contract_status
 from marginflow.functions.keys import has_id, key_of
 from marginflow.operators import accessors, customer, derive, frames, kpis, questions, views
+from marginflow.operators.fusion import scalar_of
 from marginflow.operators.predicates import Filters, apply_filters, for_tenant
 from marginflow.operators.tenancy import ScopedTables, TenantSession
 from marginflow.sources import star as star_source
@@ -318,6 +319,12 @@ def test_scalar_keeps_its_type(tenant_session, text, value):
         "SELECT reflect('java.lang.System', 'getProperty', 'user.name')",
         "SELECT `Java_Method`('java.lang.System', 'getProperty', 'user.name')",
         "SELECT try_reflect('java.lang.System', 'getProperty', 'user.name')",
+        "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'getProperty', 'user.name')",
+        "SELECT 1 WHERE 'x' = (SELECT java_method('java.lang.System', 'lineSeparator'))",
+        "SELECT t.* FROM transactions t WHERE EXISTS (SELECT reflect('java.lang.System', 'lineSeparator') = t.tenant_id)",
+        "WITH a AS (SELECT reflect('java.lang.System', 'lineSeparator') AS x) SELECT count(*) FROM a",
+        "SELECT transform(array(1), x -> reflect('java.lang.System', 'lineSeparator'))",
+        "SELECT TRANSFORM (tenant_id) USING 'cat' AS (x STRING) FROM transactions",
     ),
 )
 def test_free_text_cannot_call_java(tenant_session, text):
@@ -325,6 +332,37 @@ def test_free_text_cannot_call_java(tenant_session, text):
         tenant_session.sql(text)
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    (
+        ("SELECT 'please reflect' AS x", "please reflect"),
+        ("SELECT max(tenant_id) AS java_method FROM transactions -- reflect", "t1"),
+        ("SELECT IDENTIFIER('up' || 'per')('a')", "A"),
+        ("SELECT sum(id) FROM range(4)", 6),
+        ("SELECT count(*) FROM IDENTIFIER('trans' || 'actions') /* transactions */", 1),
+        ("SELECT max(x) FROM (SELECT explode(array(1, 2)) AS x UNION ALL VALUES (5))", 5),
+        ("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 4) SELECT max(n) FROM r", 4),
+        ("SELECT (SELECT count(*) FROM contracts) + count(*) FROM transactions WHERE tenant_id IN (SELECT tenant_id FROM contracts)", 2),
+    ),
+)
+def test_free_text_may_mention_anything(tenant_session, text, value):
+    assert tenant_session.sql(text).first()[0] == value
+
+
+def test_free_text_reads_no_table_of_the_catalogue(spark, tenant_session, tmp_path):
+    """Tables and stored views of the catalogue are shared by all sessions; a tenant reads neither."""
+    spark.range(3).write.option("path", str(tmp_path / "leak")).saveAsTable("leak")
+    spark.sql("CREATE VIEW contracts AS SELECT * FROM leak")
+    try:
+        for text in ("SELECT * FROM leak", "SELECT * FROM default.contracts", "SELECT (SELECT max(id) FROM leak)"):
+            with pytest.raises(ValueError):
+                tenant_session.sql(text)
+        assert tenant_session.sql("SELECT count(*) AS n FROM contracts").first().n == 1
+    finally:
+        spark.sql("DROP VIEW contracts")
+        spark.sql("DROP TABLE leak")
+
+
 def test_tenant_session_has_the_settings_of_its_parent(spark):
     name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(name)
@@ -380,6 +418,115 @@ def test_metrics_from_config(tenant_session, tmp_path):
     )
 
 
+YAML_METRICS = """
+kpis:
+  total_revenue:
+    label: "Total Revenue"
+    sql: "SELECT ROUND(SUM(invoice_price * quantity), 2) FROM transactions"
+    format: "currency"
+    delta_sql: "SELECT ROUND(SUM(invoice_price * quantity), 2) FROM transactions WHERE year = 2024"
+  avg_margin:
+    label: "Avg Margin %"
+    sql: "SELECT ROUND(AVG(margin_pct), 1) FROM transactions"
+    format: "percent"
+  active_contracts:
+    label: "Active Contracts"
+    sql: "SELECT COUNT(*) FROM contracts WHERE status = 'Active'"
+    format: "integer"
+  at_risk_deals:
+    label: "At-Risk Deals"
+    sql: "SELECT COUNT(*) FROM v_contract_risk WHERE risk_status IN ('Critical', 'At Risk')"
+    format: "integer"
+    alert_threshold: 0
+"""
+
+
+def test_metrics_of_a_yaml_file(tenant_session, tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "metrics.yaml"
+    path.write_text(YAML_METRICS)
+    metrics = kpis.load_metrics(str(path))
+    assert [m.key for m in metrics] == ["total_revenue", "avg_margin", "active_contracts", "at_risk_deals"]
+    found = {r.metric: r for r in kpis.metric_table(tenant_session, metrics).collect()}
+    base = {r.metric: r for r in kpis.metric_table(tenant_session).collect()}
+    for name in base:
+        assert (found[name].label, found[name].format) == (base[name].label, base[name].format)
+        assert found[name].value == pytest.approx(base[name].value)
+    assert found["at_risk_deals"].alert == (found["at_risk_deals"].value > 0)
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    (
+        ("SELECT count(*) FROM t", "count(*)"),
+        ("select Count(DISTINCT x) AS n from T where a = 'it, (is' and b in (1, 2);", "Count(DISTINCT x) FILTER (WHERE a = 'it, (is' and b in (1, 2))"),
+        ("SELECT round(sum(cast(p AS decimal(18, 4)) * q), 2) / nullif(count(*), 0) FROM t WHERE y = 1",
+         "round(sum(cast(p AS decimal(18, 4)) * q) FILTER (WHERE y = 1), 2) / nullif(count(*) FILTER (WHERE y = 1), 0)"),
+        ("SELECT coalesce(max(if(a > 0, b, 0)), -1)\nFROM\tt", "coalesce(max(if(a > 0, b, 0)), -1)"),
+    ),
+)
+def test_fusible_texts(text, value):
+    found = scalar_of(text)
+    assert (found.source, found.value) == ("t", value)
+
+
+@pytest.mark.parametrize(
+    "text",
+    (
+        "SELECT 7",
+        "SELECT x FROM t",
+        "SELECT count(*), 1 FROM t",
+        "SELECT count(*) FROM t, u",
+        "SELECT count(*) FROM t JOIN u USING (x)",
+        "SELECT count(*) FROM t GROUP BY x",
+        "SELECT count(*) FROM t WHERE x = 1 GROUP BY y",
+        "SELECT count(*) FROM t HAVING count(*) > 1",
+        "SELECT count(*) FROM t LIMIT 0",
+        "SELECT count(*) FROM t WHERE x IN (SELECT 1)",
+        "SELECT sum(count(*)) FROM t",
+        "SELECT count(*) OVER () FROM t",
+        "SELECT count(*) FILTER (WHERE x) FROM t",
+        "SELECT percentile(x, 0.5) FROM t",
+        "SELECT count(*) FROM (SELECT 1)",
+        "SELECT count(*) FROM a.t",
+        "SELECT count(*) FROM t u",
+        "SELECT count(*) FROM t -- where",
+        'SELECT count("x") FROM t',
+        "SELECT count(*) FROM t WHERE a = 'x",
+        "SELECT DISTINCT count(*) FROM t WHERE a = :b",
+        "SELECT count(*) FROM t UNION SELECT 1",
+        "SELECT (count(*) FROM t",
+    ),
+)
+def test_other_texts_are_not_fused(text):
+    assert scalar_of(text) is None
+
+
+def test_fused_metrics_equal_single_ones(tenant_session):
+    """Values, NULLs and zeros are those of each text run alone; texts that don't fuse still answer."""
+    texts = [
+        "SELECT sum(quantity) FROM transactions WHERE quantity > 99",
+        "SELECT count(*) FROM transactions WHERE quantity > 99 OR tenant_id = 't2'",
+        "SELECT round(avg(list_price), 1) + count(*) FROM transactions",
+        "SELECT max(quantity) FROM transactions GROUP BY tenant_id",
+        "SELECT quantity FROM transactions WHERE quantity > 99",
+        "SELECT count(DISTINCT status) FROM contracts",
+        "SELECT 2",
+    ]
+    metrics = [kpis.Metric(str(i), "", text) for i, text in enumerate(texts)]
+    found = {r.metric: r.value for r in kpis.metric_table(tenant_session, metrics).collect()}
+    alone = [tenant_session.scalar(text).first().value for text in texts]
+    assert [found[str(i)] for i in range(len(texts))] == [None if v is None else float(v) for v in alone]
+
+
+def test_default_metrics_scan_the_lines_once(spark):
+    table = kpis.metric_table(TenantSession(spark, lambda s: StarTables(s, SMALL), "tenant_a"))
+    table.collect()
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0] if "== Initial Plan ==" in plan else plan
+    assert len(set(re.findall(r"FileScan parquet \[l_[^\n]*", final))) == 1
+
+
 # --- KPIs, frames, questions -------------------------------------------------
 
 
