@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginflow.functions.totals import TOTALS, contract_totals
+
 # Column names and types of the seven tables.
 SCHEMAS: dict[str, str] = {
     "gpos": "gpo_id string, name string, admin_fee_pct double, member_count int",
@@ -43,6 +45,10 @@ SCHEMAS: dict[str, str] = {
 
 TABLE_NAMES = tuple(SCHEMAS)
 
+#: Totals per contract, which a store keeps beside the tables.
+TOTALS_TABLE = "contract_totals"
+SCHEMAS[TOTALS_TABLE] = f"tenant_id string, contract_id string, {TOTALS}"
+
 # Domains of the categorical columns.
 DEAL_STRUCTURES = ("PV", "DV", "TV", "Access", "All Play")
 DEVICE_CATEGORIES = ("Orthopedic Implants", "Cardiovascular", "Surgical Instruments", "Consumables")
@@ -106,14 +112,7 @@ class PricingTables:
     rebate_programs: DataFrame
     transactions: DataFrame
 
-    @cached_property
-    def customer_contracts(self) -> DataFrame:
-        """Contracts with ``idn_name``, ``idn_tier`` and ``region`` of their customer.
-
-        ``customer_known`` is false where the customer is missing.  Catalyst picks the
-        join: customers are broadcast only while their size is known to be under the
-        session's broadcast threshold.
-        """
+    def _with_customers(self, contracts: DataFrame) -> DataFrame:
         customers = self.idns.select(
             "idn_id",
             F.col("name").alias("idn_name"),
@@ -122,11 +121,36 @@ class PricingTables:
             F.lit(True).alias("_known"),
         )
         return (
-            self.contracts.join(customers, "idn_id", "left")
+            contracts.join(customers, "idn_id", "left")
             .withColumn("customer_known", F.coalesce("_known", F.lit(False)))
             .drop("_known")
         )
 
+    @cached_property
+    def customer_contracts(self) -> DataFrame:
+        """Contracts with ``idn_name``, ``idn_tier`` and ``region`` of their customer.
+
+        ``customer_known`` is false where the customer is missing.  Catalyst picks the
+        join: customers are broadcast only while their size is known to be under the
+        session's broadcast threshold.
+        """
+        return self._with_customers(self.contracts)
+
+    @cached_property
+    def contract_totals(self) -> DataFrame:
+        """Totals of the lines of each contract that has any."""
+        return contract_totals(self.transactions)
+
+    @cached_property
+    def totalled_contracts(self) -> DataFrame:
+        """``customer_contracts`` with the totals of their lines; NULL without lines.
+
+        The join key includes the tenant, which lets a tenant predicate reach both scans.
+        Both sides have one row per contract by then, so no key can be heavy.  Contracts meet their
+        totals first, as both may be stored by contract.
+        """
+        return self._with_customers(self.contracts.join(self.contract_totals, ["tenant_id", "contract_id"], "left"))
+
     def of_customer(self, idn_id: str) -> PricingTables:
         """The same tables with one customer, its contracts, their rebates and transactions."""
         return CustomerTables(self, idn_id)

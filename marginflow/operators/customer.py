@@ -45,8 +45,6 @@ def contract_portfolio(
     tables: PricingTables, tenant: str | None = None, idn_id: str | None = None
 ) -> DataFrame:
     """Contracts with margin, revenue and risk; Unknown where the customer is missing."""
-    tables = _of(tables, idn_id)
-    totals = views.contract_totals(for_tenant(tables.transactions, tenant))
     margin = avg_units(
         F.col("margin_units"), F.col("margin_count"), PERCENT_SUM_PLACES, PERCENT_PLACES
     )
@@ -56,8 +54,7 @@ def contract_portfolio(
         return F.coalesce(F.when(known, value), F.lit(missing))
 
     rows = (
-        for_tenant(tables.customer_contracts, tenant)
-        .join(totals, ["tenant_id", "contract_id"], "left")
+        for_tenant(_of(tables, idn_id).totalled_contracts, tenant)
         .select(
             "tenant_id",
             "idn_id",

@@ -70,6 +70,14 @@ class ScopedTables(PricingTables):
     def customer_contracts(self) -> DataFrame:
         return self._own(self._tables.customer_contracts)
 
+    @cached_property
+    def contract_totals(self) -> DataFrame:
+        return self._own(self._tables.contract_totals)
+
+    @cached_property
+    def totalled_contracts(self) -> DataFrame:
+        return self._own(self._tables.totalled_contracts)
+
     @cached_property
     def transactions(self) -> DataFrame:
         return self._own(self._tables.transactions)

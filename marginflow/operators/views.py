@@ -18,7 +18,6 @@ from marginflow.functions.numeric import (
     avg_share_as_percent,
     avg_units,
     money_total,
-    money_units,
     sum_money,
     units,
 )
@@ -125,17 +124,6 @@ def monthly_trends(tables: PricingTables) -> DataFrame:
     )
 
 
-def contract_totals(transactions: DataFrame) -> DataFrame:
-    """One row per contract with unit totals, aggregated before any join."""
-    margin = units("margin_pct", PERCENT_SUM_PLACES)
-    return transactions.groupBy("tenant_id", "contract_id").agg(
-        F.count("transaction_id").alias("line_count"),
-        F.count(margin).alias("margin_count"),
-        F.sum(margin).alias("margin_units"),
-        F.sum(money_units("invoice_price", "quantity")).alias("revenue_units"),
-    )
-
-
 def risk_status(margin_units: Column, margin_count: Column) -> Column:
     """Risk rule on the unrounded average margin; no lines means no average, never At Risk."""
     threshold = F.lit(AT_RISK_BELOW_MARGIN * 10**PERCENT_SUM_PLACES).cast("bigint")
@@ -148,14 +136,9 @@ def risk_status(margin_units: Column, margin_count: Column) -> Column:
 
 
 def contract_risk(tables: PricingTables) -> DataFrame:
-    """Every contract once.
-
-    The join key includes the tenant, which lets a tenant predicate reach both scans.
-    Both sides have one row per contract by then, so no key can be heavy.
-    """
+    """Every contract of a known customer once."""
     return (
-        tables.customer_contracts.filter("customer_known")
-        .join(contract_totals(tables.transactions), ["tenant_id", "contract_id"], "left")
+        tables.totalled_contracts.filter("customer_known")
         .select(
             "tenant_id",
             "contract_id",

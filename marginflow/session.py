@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # tables stored by contract also join by tenant and contract without an exchange
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from marginflow.functions.keys import has_id, key_of, text_of
 from marginflow.functions.numeric import CENT_PLACES, cents, div_half_up, from_units
+from marginflow.functions.totals import contract_totals
 from marginflow.model import DEVICE_CATEGORIES, PricingTables, REBATE_RULES, conform, lookup
 from marginflow.operators import derive
 
@@ -276,9 +277,9 @@ class StarTables(PricingTables):
             .transform(derive.with_base_discount, _hundredths(key % 9 - 4))
         )
 
-    @cached_property
-    def _named_deals(self) -> DataFrame:
-        return self._deals.withColumns(
+    @staticmethod
+    def _named(deals: DataFrame) -> DataFrame:
+        return deals.withColumns(
             {
                 "contract_id": text_of(F.col("contract_key")),
                 "idn_id": text_of(F.col("idn_key")),
@@ -287,17 +288,32 @@ class StarTables(PricingTables):
 
     @cached_property
     def contracts(self) -> DataFrame:
-        return conform(self._named_deals, "contracts")
+        return conform(self._named(self._deals), "contracts")
 
     @cached_property
     def customer_contracts(self) -> DataFrame:
         """As in the base class, without joining the customers a second time."""
-        return self._named_deals.select(
+        return self._named(self._deals).select(
+            *self.contracts.columns,
+            "idn_name",
+            "idn_tier",
+            "region",
+            F.col("idn_name").isNotNull().alias("customer_known"),
+        )
+
+    @cached_property
+    def totalled_contracts(self) -> DataFrame:
+        """As in the base class, joined on the numeric key; ids become text last."""
+        totals = contract_totals(self._priced, "contract_key")
+        contracts = self._named(self._deals.join(totals, ["tenant_id", "contract_key"], "left"))
+        totals_kept = [name for name in totals.columns if name not in ("tenant_id", "contract_key")]
+        return contracts.select(
             *self.contracts.columns,
             "idn_name",
             "idn_tier",
             "region",
             F.col("idn_name").isNotNull().alias("customer_known"),
+            *totals_kept,
         )
 
     @cached_property
@@ -350,8 +366,8 @@ class StarTables(PricingTables):
         return self._parts
 
     @cached_property
-    def priced_lines(self) -> DataFrame:
-        """Every column of the derivation, joined on the numeric keys.
+    def _priced(self) -> DataFrame:
+        """The derivation joined on the numeric keys, without text ids.
 
         Orders and their lines grow together, so neither side is ever a broadcast side.
         The merge hint says so where the estimate of a few pruned columns does not, and
@@ -361,8 +377,18 @@ class StarTables(PricingTables):
         products = self._parts.select("product_key", "list_price", F.col("cost").alias("unit_cost"))
         deals = self._deals.drop("duration_months", "idn_name")
         return derive.price_transactions(
-            self.lines, deals.hint("broadcast" if self._few_orders else "merge"), products, self.gpos, "contract_key", "product_key"
-        ).withColumns(
+            self.lines,
+            deals.hint("broadcast" if self._few_orders else "merge"),
+            products,
+            self.gpos,
+            "contract_key",
+            "product_key",
+        )
+
+    @cached_property
+    def priced_lines(self) -> DataFrame:
+        """Every column of the derivation."""
+        return self._priced.withColumns(
             {
                 "transaction_id": F.concat_ws(
                     "-", "contract_key", "l_linenumber", "product_key", "l_suppkey", "quantity"

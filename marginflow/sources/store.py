@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from dataclasses import dataclass
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginflow.model import SCHEMAS, TABLE_NAMES, PricingTables, conform
+from marginflow.functions.totals import contract_totals
+from marginflow.model import SCHEMAS, TABLE_NAMES, TOTALS_TABLE, PricingTables, conform
 
 # Low-cardinality columns that most predicates name, and the key the drill-downs filter on.
-_PARTITIONS = {"contracts": ("tenant_id",), "transactions": ("tenant_id", "year")}
-_SORTED_BY = {"contracts": ("idn_id",), "transactions": ("idn_id",)}
+_PARTITIONS = {
+    "contracts": ("tenant_id",),
+    TOTALS_TABLE: ("tenant_id",),
+    "transactions": ("tenant_id", "year"),
+}
+_SORTED_BY = {
+    "contracts": "idn_id",
+    "transactions": "idn_id",
+    TOTALS_TABLE: "contract_id",
+    "rebate_programs": "contract_id",
+}
+#: Tables with few rows for each contract, which are stored by it.
+_BUCKETED = ("contracts", "rebate_programs", TOTALS_TABLE)
 
 
 def write_csv(tables: PricingTables, directory: str, names: tuple[str, ...] = TABLE_NAMES) -> None:
@@ -41,32 +55,148 @@ def read_csv(spark: SparkSession, directory: str, table: str) -> DataFrame:
     return parse_dates(raw, table)
 
 
-def write_store(tables: PricingTables, path: str, names: tuple[str, ...] = TABLE_NAMES) -> None:
-    """Full rebuild as Parquet; tenant tables are partitioned by tenant, lines also by year.
+_MANIFEST = "version bigint, entries array<struct<table: string, folder: string, buckets: int>>"
 
-    The rebalance hint evens out file sizes at run time and splits a tenant that
-    holds most of the rows over as many tasks as its size needs.  Rows are sorted by
-    customer within each file, so that a drill-down skips pages by their statistics.
+
+@dataclass(frozen=True)
+class Entry:
+    """Where a version keeps a table; ``buckets`` is 0 for a table that isn't stored by contract."""
+
+    table: str
+    folder: str
+    buckets: int
+
+
+def current_version(spark: SparkSession, path: str) -> tuple[int, dict[str, Entry]]:
+    """Number and tables of the newest complete version; (0, {}) before the first.
+
+    A manifest is one small file that its job moves into place when it is complete.
+    """
+    if not _exists(spark, f"{path}/manifests"):
+        return 0, {}
+    newest = spark.read.schema(_MANIFEST).json(f"{path}/manifests/*").orderBy(F.desc("version")).first()
+    if newest is None:
+        return 0, {}
+    return newest.version, {e.table: Entry(e.table, e.folder, e.buckets) for e in newest.entries}
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def write_store(
+    tables: PricingTables, path: str, names: tuple[str, ...] = TABLE_NAMES, buckets: int | None = None
+) -> int:
+    """Full rebuild of ``names`` as a new version of the store; returns its number.
+
+    Every table goes to a folder of its own, and the manifest that names the folders comes last: a
+    reader sees the old version or the new one, and a rebuild that fails leaves the old one as it
+    was.  Tables not named are taken over.  Two rebuilds at a time can't make the same
+    version: the later one fails.
+
+    Tenant tables are partitioned by tenant, lines also by year.  The rebalance hint evens out file
+    sizes at run time and splits a tenant that holds most of the rows over as many tasks as
+    its size needs.  Rows are sorted by customer within each file, so that a drill-down skips pages by
+    their statistics.  Contracts, their rebates and the totals of their lines are stored in ``buckets``
+    of the contract (by default as many as the session's shuffle partitions) and meet without an
+    exchange.  Lines aren't: one contract may hold a third of them, and a bucket can't be split.
     """
+    folder = f"{path}/data/{uuid.uuid4().hex}"
+    spark = tables.gpos.sparkSession
+    version, entries = current_version(spark, path)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name in names:
-        frame, columns = getattr(tables, name), _PARTITIONS.get(name, ())
+        entry = Entry(name, f"{folder}/{name}", buckets if name in _BUCKETED else 0)
+        _write(getattr(tables, name), entry)
+        entries[name] = entry
+        if name == "transactions":
+            entry = Entry(TOTALS_TABLE, f"{folder}/{TOTALS_TABLE}", buckets)
+            _write(contract_totals(_read(spark, entries[name])), entry)
+            entries[TOTALS_TABLE] = entry
+    row = (version + 1, [(e.table, e.folder, e.buckets) for e in entries.values()])
+    manifest = spark.createDataFrame([row], _MANIFEST).coalesce(1)
+    manifest.write.mode("errorifexists").json(f"{path}/manifests/{version + 1:012d}")
+    return version + 1
+
+
+def _write(frame: DataFrame, entry: Entry) -> None:
+    name, columns = entry.table, _PARTITIONS.get(entry.table, ())
+    if entry.buckets:
+        writer = frame.repartition(entry.buckets, "contract_id").write.option("path", entry.folder)
+        writer = writer.bucketBy(entry.buckets, "contract_id").sortBy(_SORTED_BY[name])
+        writer.format("parquet").partitionBy(*columns).saveAsTable(_registered(entry))
+        return
+    if columns:
+        frame = frame.hint("rebalance", *columns).sortWithinPartitions(*columns, _SORTED_BY[name])
+    frame.write.partitionBy(*columns).parquet(entry.folder)
+
+
+def _registered(entry: Entry) -> str:
+    """Name of a bucketed table in the session's catalogue, where Spark keeps what its buckets are."""
+    return f"marginflow_{hashlib.sha256(entry.folder.encode()).hexdigest()[:24]}_{entry.table}"
+
+
+def _read(spark: SparkSession, entry: Entry) -> DataFrame:
+    name, columns = entry.table, _PARTITIONS.get(entry.table, ())
+    if not entry.buckets:
+        return conform(spark.read.schema(SCHEMAS[name]).parquet(entry.folder), name)
+    table = _registered(entry)
+    if not spark.catalog.tableExists(table):
+        partitioned = f"PARTITIONED BY ({', '.join(columns)})" if columns else ""
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} ({SCHEMAS[name]}) USING parquet {partitioned} "
+            f"CLUSTERED BY (contract_id) SORTED BY ({_SORTED_BY[name]}) INTO {entry.buckets} BUCKETS "
+            f"LOCATION '{entry.folder}'"
+        )
         if columns:
-            frame = frame.hint("rebalance", *columns).sortWithinPartitions(
-                *columns, *_SORTED_BY[name]
-            )
-        frame.write.mode("overwrite").partitionBy(*columns).parquet(f"{path}/{name}")
+            spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+    return conform(spark.table(table), name)
+
+
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Deletes all but the newest ``keep`` versions, manifests first; returns the numbers of those dropped.
+
+    Folders that a kept version names, and those of an unfinished rebuild, stay.
+    """
+    if not _exists(spark, f"{path}/manifests"):
+        return []
+    found = spark.read.schema(_MANIFEST).json(f"{path}/manifests/*").orderBy(F.desc("version")).collect()
+    held = {e.folder for row in found[:keep] for e in row.entries}
+    gone = {Entry(e.table, e.folder, e.buckets) for row in found[keep:] for e in row.entries if e.folder not in held}
+    for row in found[keep:]:
+        _delete(spark, f"{path}/manifests/{row.version:012d}")
+    for entry in gone:
+        if entry.buckets:
+            spark.sql(f"DROP TABLE IF EXISTS {_registered(entry)}")
+        _delete(spark, entry.folder)
+    return [row.version for row in found[keep:]]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class StoredTables(PricingTables):
-    """Tables read back from a Parquet store; file sizes guide the join strategy."""
+    """Tables of one version of a store, the newest when they are first read.
+
+    File sizes guide the join strategy.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
 
+    @cached_property
+    def _entries(self) -> dict[str, Entry]:
+        entries = current_version(self.spark, self.path)[1]
+        if not entries:
+            raise FileNotFoundError(f"no complete version of a store in {self.path}")
+        return entries
+
     def _table(self, name: str) -> DataFrame:
-        stored = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
-        return conform(stored, name)
+        return _read(self.spark, self._entries[name])
 
     @cached_property
     def gpos(self) -> DataFrame:
@@ -96,6 +226,10 @@ class StoredTables(PricingTables):
     def transactions(self) -> DataFrame:
         return self._table("transactions")
 
+    @cached_property
+    def contract_totals(self) -> DataFrame:
+        return self._table(TOTALS_TABLE)
+
 
 def row_counts(tables: PricingTables, names: tuple[str, ...] = TABLE_NAMES) -> DataFrame:
     """Load report: rows per table."""

@@ -182,6 +182,90 @@ def test_customer_filter_reaches_the_scans_of_sorted_files(spark, stored):
         assert ids == sorted(ids)
 
 
+def test_stored_contracts_meet_their_totals_and_rebates_without_exchange(spark, stored):
+    """Nothing moves below the joins by contract, with broadcasts switched off."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = stored.contracts.join(stored.contract_totals, ["tenant_id", "contract_id"], "left")
+        rebates = stored.rebate_programs.join(joined, "contract_id")
+        for df in (joined, rebates, customer.rebates_of_customer(stored)):
+            plan = plan_of(df)
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        risk = plan_of(views.contract_risk(stored))
+        # below the join by contract only the bucketed scans; above it the join with the customers
+        assert risk.count("Exchange hashpartitioning(idn_id") == 2 and risk.count("Exchange") == 2
+        assert "transaction_id" not in risk and risk.count("Bucketed: true") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_store_is_read_by_a_session_that_did_not_write_it(spark, star):
+    """The bucketed tables are registered again from the manifest alone."""
+    path = store.scratch_folder(spark)
+    store.write_store(star, path, buckets=3)
+    for table in spark.catalog.listTables():
+        if table.name.startswith("marginflow_") and table.tableType == "EXTERNAL":
+            spark.sql(f"DROP TABLE {table.name}")
+    again = store.StoredTables(spark.newSession(), path)
+    for name in ("contracts", "rebate_programs"):
+        assert getattr(again, name).count() == getattr(star, name).count()
+    expected = {tuple(r) for r in star.contract_totals.collect()}
+    assert {tuple(r) for r in again.contract_totals.collect()} == expected
+    assert again.contracts.filter("tenant_id = 'tenant_b'").count() > 0
+
+
+def test_failed_rebuild_leaves_the_old_version(spark, star):
+    """Readers see whole versions only, whatever a rebuild has written before it fails."""
+    path = store.scratch_folder(spark)
+    with pytest.raises(FileNotFoundError):
+        store.StoredTables(spark, path).gpos.count()
+    assert store.write_store(star, path, ("gpos", "contracts")) == 1
+    held = store.StoredTables(spark, path)
+    counts = held.contracts.count(), held.gpos.count()
+
+    class Broken(StarTables):
+        @property
+        def contracts(self):
+            torn = F.when(F.col("contract_id") == super().contracts.first().contract_id, F.raise_error(F.lit("torn")))
+            return super().contracts.limit(50).withColumn("contract_id", F.coalesce(torn, "contract_id"))
+
+        @property
+        def gpos(self):
+            return super().gpos.limit(1)
+
+    with pytest.raises(Exception, match="torn"):
+        store.write_store(Broken(spark, SMALL), path, ("gpos", "contracts"))
+    for tables in (held, store.StoredTables(spark, path)):
+        assert (tables.contracts.count(), tables.gpos.count()) == counts
+    assert store.current_version(spark, path)[0] == 1
+
+    # a later rebuild takes over what it doesn't name, and open readers keep their version
+    assert store.write_store(star, path, ("products",)) == 2
+    assert store.write_store(Broken(spark, SMALL), path, ("gpos",)) == 3
+    newest = store.StoredTables(spark, path)
+    assert (newest.contracts.count(), newest.gpos.count()) == (counts[0], 1)
+    assert newest.products.count() == star.products.count() and held.gpos.count() == counts[1]
+    assert store.drop_old_versions(spark, path, keep=1) == [2, 1]
+    again = store.StoredTables(spark, path)
+    assert (again.contracts.count(), again.gpos.count()) == (counts[0], 1)
+
+
+def test_two_rebuilds_do_not_make_one_version(spark, star):
+    path = store.scratch_folder(spark)
+    store.write_store(star, path, ("gpos",))
+
+    class Slow(StarTables):
+        @property
+        def products(self):
+            store.write_store(star, path, ("gpos",))  # another rebuild, done in the meantime
+            return super().products
+
+    with pytest.raises(Exception):
+        store.write_store(Slow(spark, SMALL), path, ("products",))
+    assert store.current_version(spark, path)[0] == 2
+
+
 def test_csv_layer_keeps_every_table(spark, star):
     folder = store.scratch_folder(spark)
     store.write_csv(star, folder)
