@@ -11,7 +11,7 @@ from marginflow.functions.calendar import with_calendar
 from marginflow.functions.display import display_text
 from marginflow.functions.numeric import cents
 from marginflow.model import TABLE_NAMES
-from marginflow.operators import accessors, customer, derive, frames, kpis, questions, views
+from marginflow.operators import accessors, conformance, customer, derive, frames, kpis, questions, views
 from marginflow.operators.predicates import (
     VIEW_DIMENSIONS,
     Filters,
@@ -289,6 +289,43 @@ def _rebate_check(t: StarTables) -> DataFrame:
     ).transform(derive.with_rebate_check)
 
 
+@_query("d13_commitment_conformance")
+def _commitment_report(t: StarTables) -> DataFrame:
+    """How many contracts keep the units they sold to the band of their structure."""
+    shares = conformance.unit_shares(t.lines, "contract_key", "product_key")
+    deals = t.numbered_deals.select("contract_key", "deal_structure")
+    return conformance.violation_report(deals.join(shares, "contract_key"), conformance.commitment_rules())
+
+
+@_query("d16_rebate_conformance")
+def _rebate_report(t: StarTables) -> DataFrame:
+    """How many programs have a type whose band the rates granted on the contract's lines keep to."""
+    rates = conformance.average_rates(t.lines, "contract_key", "rebate_pct").select(
+        F.col("contract_key").cast("string").alias("contract_id"), "rate_units", "rate_count"
+    )
+    programs = t.rebate_programs.select("contract_id", "rebate_type")
+    return conformance.violation_report(programs.join(rates, "contract_id"), conformance.rebate_rules())
+
+
+@_query("d_line_conformance")
+def _line_report(t: StarTables) -> DataFrame:
+    """Rules of the sold lines themselves, all counted in one pass."""
+    orders = t.raw("orders").select(
+        F.col("o_orderkey").alias("order_key"),
+        F.col("o_orderdate").cast("date").alias("ordered"),
+        F.col("o_totalprice").alias("order_total"),
+    )
+    lines = t.raw("lineitem").select(
+        F.col("l_orderkey").alias("order_key"),
+        F.col("l_quantity").alias("quantity"),
+        F.col("l_discount").alias("discount"),
+        F.col("l_extendedprice").alias("amount"),
+        F.col("l_shipdate").cast("date").alias("sold"),
+    )
+    joined = lines.join(orders, "order_key", "left")
+    return conformance.violation_report(joined, conformance.line_rules())
+
+
 @_query("d17_surrogate_ids")
 def _ids(t: StarTables) -> DataFrame:
     return t.contracts.select(

@@ -630,6 +630,50 @@ def _bodies() -> dict[str, str]:
                      ('Growth', 'yoy_volume_increase', 0.005, 0.015)) AS b(kind, trigger, low, high)
           ON b.kind = r.rebate_type
     """
+    q["d13_commitment_conformance"] = """
+        SELECT * FROM (
+        WITH shares AS (
+            SELECT k, MAX(n) AS most, SUM(n) AS total
+            FROM (SELECT l_orderkey AS k, l_partkey, CAST(SUM(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY ALL)
+            GROUP BY k
+        ), bands(rule, structure, low, high) AS (
+            VALUES ('PV commitment', 'PV', 80, 95), ('DV commitment', 'DV', 40, 60), ('TV commitment', 'TV', 25, 35)
+        )
+        SELECT rule, COUNT(k) AS checked,
+               COUNT(k) FILTER (WHERE NOT (100 * most BETWEEN low * total AND high * total)) AS violations
+        FROM bands LEFT JOIN (shares JOIN contracts c ON CAST(c.contract_id AS BIGINT) = k)
+             ON c.deal_structure = structure
+        GROUP BY rule
+        ) report
+    """
+    q["d16_rebate_conformance"] = """
+        SELECT * FROM (
+        WITH rates AS (
+            SELECT CAST(l_orderkey AS VARCHAR) AS contract_id, COUNT(*) AS n,
+                   SUM(CAST(ROUND(l_tax * 100) AS BIGINT)) AS hundredths
+            FROM lineitem GROUP BY l_orderkey
+        ), bands(kind, low, high) AS (
+            VALUES ('Volume', 20, 50), ('Loyalty', 10, 30), ('Bundle', 10, 20), ('Growth', 5, 15)
+        )
+        SELECT kind || ' rate' AS rule, COUNT(n) AS checked,
+               COUNT(n) FILTER (WHERE hundredths * 10 < low * n OR hundredths * 10 > high * n) AS violations
+        FROM bands LEFT JOIN rebate_programs p ON p.rebate_type = kind
+        LEFT JOIN rates r ON r.contract_id = p.contract_id
+        GROUP BY kind
+        ) report
+    """
+    q["d_line_conformance"] = """
+        SELECT UNNEST(['discount in bounds', 'quantity in bounds', 'quantity whole', 'sold after ordered',
+                       'within order total']) AS rule,
+               UNNEST([COUNT(*), COUNT(*), COUNT(*), COUNT(o_orderkey), COUNT(o_orderkey)]) AS checked,
+               UNNEST([SUM(CASE WHEN ROUND(l_discount * 100) BETWEEN 2 AND 40 THEN 0 ELSE 1 END),
+                       SUM(CASE WHEN l_quantity BETWEEN 1 AND 200 THEN 0 ELSE 1 END),
+                       SUM(CASE WHEN l_quantity = FLOOR(l_quantity) THEN 0 ELSE 1 END),
+                       SUM(CASE WHEN CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE) THEN 1 ELSE 0 END),
+                       SUM(CASE WHEN ROUND(l_extendedprice * 100) > ROUND(o_totalprice * 100) THEN 1 ELSE 0 END)
+                      ])::BIGINT AS violations
+        FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey
+    """
     q["d17_surrogate_ids"] = """
         SELECT contract_id,
                'CTR-' || LPAD(contract_id, CAST(GREATEST(4, LENGTH(contract_id)) AS INTEGER), '0') AS contract_code,

@@ -55,6 +55,53 @@ def read_csv(spark: SparkSession, directory: str, table: str) -> DataFrame:
     return parse_dates(raw, table)
 
 
+_RAW_LINE = "_raw_line"
+
+
+@dataclass(frozen=True)
+class CheckedCsv:
+    """Rows of a CSV table that are readable, and ``rejects``: ``table_name, reason, record`` of the others."""
+
+    rows: DataFrame
+    rejects: DataFrame
+
+
+def read_csv_checked(spark: SparkSession, directory: str, table: str) -> CheckedCsv:
+    """As ``read_csv``, but a bad row costs that row only and says why.
+
+    A row is rejected if its number of fields is wrong (``malformed row``), or if a value can't be read as
+    the type of its column (``unreadable <column>``, the first such column).  Every row of the files is on
+    one side.
+    """
+    fields = [field.strip().rsplit(" ", 1) for field in SCHEMAS[table].split(",")]
+    raw = (
+        spark.read.schema(", ".join(f"{name} string" for name, _ in fields) + f", {_RAW_LINE} string")
+        .option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnPruning", False)  # else a field too many is only seen by who reads it
+        .option("columnNameOfCorruptRecord", _RAW_LINE)
+        .csv(f"{directory}/{table}")
+    )
+    reason = F.when(F.col(_RAW_LINE).isNotNull(), F.lit("malformed row"))
+    for name, kind in fields:
+        unread = F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull()
+        reason = reason.when(unread, F.lit(f"unreadable {name}"))
+    judged = raw.withColumn("reason", reason)
+    as_found = F.to_csv(F.struct(*[name for name, _ in fields]))
+    return CheckedCsv(
+        conform(judged.filter("reason IS NULL"), table),
+        judged.filter("reason IS NOT NULL").select(
+            F.lit(table).alias("table_name"), "reason", F.coalesce(_RAW_LINE, as_found).alias("record")
+        ),
+    )
+
+
+def reject_report(checked: list[CheckedCsv]) -> DataFrame:
+    """``table_name, reason, rejected``: rejected rows of several tables, counted by reason."""
+    rejects = reduce(DataFrame.unionByName, [c.rejects for c in checked])
+    return rejects.groupBy("table_name", "reason").agg(F.count(F.lit(1)).alias("rejected"))
+
+
 _MANIFEST = "version bigint, entries array<struct<table: string, folder: string, buckets: int>>"
 
 

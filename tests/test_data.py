@@ -275,6 +275,38 @@ def test_csv_layer_keeps_every_table(spark, star):
         assert ours.exceptAll(back).count() == 0 and back.exceptAll(ours).count() == 0
 
 
+def test_a_bad_row_costs_that_row(spark, star, tmp_path):
+    """Readable rows and rejects make up all rows; the report counts rejects by reason."""
+    store.write_csv(star, str(tmp_path), ("contracts", "gpos"))
+    clean = store.read_csv_checked(spark, str(tmp_path), "contracts")
+    assert clean.rows.exceptAll(star.contracts).count() == 0 and clean.rows.count() == star.contracts.count()
+    assert clean.rejects.count() == 0
+    good = "C1,t,I1,GPO-001,PV,Consumables,2020-01-31,2021-01-31,12,0.2,0.8,Active,100,true,Low"
+    bad = {
+        good.replace("2020-01-31", "2020-02-31"): "unreadable start_date",
+        good.replace("2021-01-31", "soon"): "unreadable end_date",
+        good.replace(",12,", ",a year,"): "unreadable duration_months",
+        "C2,t": "malformed row",
+        good + ",one more": "malformed row",
+    }
+    header = ",".join(star.contracts.columns)
+    (tmp_path / "contracts" / "more.csv").write_text("\n".join([header, good, *bad, good.replace("2020-01-31", "")]) + "\n")
+    checked = store.read_csv_checked(spark, str(tmp_path), "contracts")
+    assert checked.rows.count() == star.contracts.count() + 2
+    found = {r.record: r.reason for r in checked.rejects.collect()}
+    assert sorted(found.values()) == sorted(bad.values())
+    assert found == bad
+    (tmp_path / "gpos" / "more.csv").write_text("gpo_id,name,admin_fee_pct,member_count\nG1,x,abc,3\n")
+    report = store.reject_report([checked, store.read_csv_checked(spark, str(tmp_path), "gpos")])
+    assert {tuple(r) for r in report.collect()} == {
+        ("contracts", "malformed row", 2),
+        ("contracts", "unreadable duration_months", 1),
+        ("contracts", "unreadable start_date", 1),
+        ("contracts", "unreadable end_date", 1),
+        ("gpos", "unreadable admin_fee_pct", 1),
+    }
+
+
 def test_malformed_csv_fails(spark, tmp_path):
     (tmp_path / "gpos").mkdir()
     (tmp_path / "gpos" / "part.csv").write_text("gpo_id,name,admin_fee_pct,member_count\nG1,x,abc,3\n")

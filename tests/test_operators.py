@@ -8,7 +8,7 @@ import fixtures as fx
 from conftest import SMALL
 from marginflow.functions.calendar import contract_status
 from marginflow.functions.keys import has_id, key_of
-from marginflow.operators import accessors, customer, derive, frames, kpis, questions, views
+from marginflow.operators import accessors, conformance, customer, derive, frames, kpis, questions, views
 from marginflow.operators.fusion import scalar_of
 from marginflow.operators.predicates import Filters, apply_filters, for_tenant
 from marginflow.operators.tenancy import ScopedTables, TenantSession
@@ -125,6 +125,51 @@ def test_checks_flag_values_outside_their_band(spark):
     assert [r.rebate_conforms for r in derive.with_rebate_check(rebates).collect()] == [True, False, False]
 
 
+def test_broken_rules_are_counted_in_one_pass(spark):
+    lines = spark.createDataFrame(
+        [
+            (0.02, 1.0, 5, 10.0, 10.0),  # meets all rules
+            (0.019999, 0.5, 1, 10.01, 10.0),  # breaks all
+            (None, None, None, None, None),  # what is unknown doesn't hold, without an order nothing is asked of it
+            (0.40, 200.0, 3, 9.0, 10.0),
+        ],
+        "discount double, quantity double, day int, amount double, order_total double",
+    ).withColumns(
+        {
+            "sold": F.date_add(F.lit(fx.DAY), F.col("day")),
+            "ordered": F.when(F.col("day").isNotNull(), F.date_add(F.lit(fx.DAY), 3)),
+        }
+    )
+    report = conformance.violation_report(lines, conformance.line_rules())
+    assert {r.rule: (r.checked, r.violations) for r in report.collect()} == {
+        "discount in bounds": (4, 2),
+        "quantity in bounds": (4, 2),
+        "quantity whole": (4, 2),
+        "sold after ordered": (3, 1),
+        "within order total": (3, 1),
+    }
+    broken = conformance.violations(lines, conformance.line_rules()).collect()
+    assert sorted(len(r.broken) for r in broken) == [3, 5]
+    assert conformance.violation_report(lines.limit(0), conformance.line_rules()).count() == 5
+
+
+def test_real_shares_and_rates_keep_to_their_bands(spark):
+    lines = spark.createDataFrame(
+        [(1, 1, 8.0, 0.02), (1, 2, 2.0, 0.08), (2, 1, 9.0, 0.02), (2, 1, 0.5, 0.02), (2, 3, 0.5, 0.02), (3, 1, None, None)],
+        "k int, p int, quantity double, rate double",
+    )
+    shares = conformance.unit_shares(lines, "k", "p")
+    deals = spark.createDataFrame([(1, "PV"), (2, "PV"), (3, "PV"), (1, "DV"), (1, "Access")], "k int, deal_structure string")
+    found = conformance.violation_report(deals.join(shares, "k"), conformance.commitment_rules())
+    assert {tuple(r) for r in found.collect()} == {("PV commitment", 2, 0), ("DV commitment", 1, 1), ("TV commitment", 0, 0)}
+    rates = conformance.average_rates(lines, "k", "rate")
+    programs = spark.createDataFrame([(1, "Volume"), (1, "Growth"), (2, "Bundle"), (3, "Loyalty")], "k int, rebate_type string")
+    found = conformance.violation_report(programs.join(rates, "k"), conformance.rebate_rules())
+    assert {tuple(r) for r in found.collect()} == {
+        ("Volume rate", 1, 0), ("Loyalty rate", 0, 0), ("Bundle rate", 1, 0), ("Growth rate", 1, 1)
+    }
+
+
 def test_surrogate_ids_keep_long_keys(spark):
     df = spark.createDataFrame([(7,), (123456,)], "k bigint")
     ids = [r.i for r in df.select(derive.surrogate_id("CTR", F.col("k"), 4).alias("i")).collect()]
