@@ -34,7 +34,9 @@ def _col(value: Column | str) -> Column:
 
 def units(value: Column | str, places: int) -> Column:
     """Whole units of a number that has at most ``places`` decimals."""
-    return F.rint(_col(value) * F.lit(float(10**places))).cast("bigint")
+    if isinstance(value, str):  # one expression: building it call by call takes most of a query's set-up
+        return F.expr(f"CAST(rint(`{value}` * {10**places}D) AS bigint)")
+    return F.rint(value * F.lit(float(10**places))).cast("bigint")
 
 
 def cents(value: Column | str) -> Column:

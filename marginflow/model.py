@@ -94,10 +94,10 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 def lookup(key: Column, values: dict[str, object]) -> Column:
     """Value of a short fixed mapping, NULL for an unknown key."""
-    chain = None
-    for name, value in values.items():
-        test = key == F.lit(name)
-        chain = F.when(test, F.lit(value)) if chain is None else chain.when(test, F.lit(value))
+    (name, value), *others = values.items()
+    chain = F.when(key == name, value)
+    for name, value in others:
+        chain = chain.when(key == name, value)
     return chain
 
 

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # call sites of column expressions are not recorded: that takes a third of a query's set-up
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # tables stored by contract also join by tenant and contract without an exchange
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
