@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -16,7 +17,28 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Separators that Python and the tokenizer library treat differently.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Fixed value: how the tokenizer file splits a lower-cased text.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECE = regex.compile(_SPLIT)
+#: The steps before the merge model that the tables stand for.
+_STEPS = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: A full stop or comma forms one piece with a sign before it, else a piece of its own.
 _STOP_AFTER_SIGN = re.compile(r"(?:[^\w\s]|_)[.,]\s")
 #: Below this code point no character combines with its neighbour.
@@ -45,9 +67,10 @@ class WordEncoder:
 
     A word's ids don't depend on its neighbours, so each word is encoded once and then looked
     up.  Words of plain letters go to the library's merge model piece by piece; words with
-    rarer characters or special tokens go through the whole library.  The table is emptied when
-    full, so memory stays bounded (about 100 MB).  Ids are little-endian unsigned 32-bit
-    integers.
+    rarer characters go through the whole library, and so do texts that may hold special
+    tokens, and all texts if the file prepares them in any other way than the tables assume.
+    The table is emptied when full, so memory stays bounded (about 100 MB).  Ids are
+    little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, path: str, most_words: int = 400_000):
@@ -58,6 +81,17 @@ class WordEncoder:
         self.most_words = most_words
         self.words = _Words(self._word)
         self.letters = byte_letters()
+        self.by_words = self._as_assumed()
+
+    def _as_assumed(self) -> bool:
+        """Whether the file prepares texts as the tables assume and all its special tokens hold ``<|``."""
+        file = json.loads(self.tokenizer.to_str())
+        special = file.get("added_tokens") or []
+        return (
+            all(file.get(step) == value for step, value in _STEPS.items())
+            and file["model"].get("type") == "BPE"
+            and all("<|" in t["content"] and not t["normalized"] for t in special)
+        )
 
     def encode_whole(self, text: str) -> bytes:
         """By the whole library, without tables."""
@@ -70,7 +104,7 @@ class WordEncoder:
         return _packed([t.id for t in self.model.tokenize(spelled)])
 
     def _word(self, word: str) -> bytes:
-        if not word.isascii() and max(word) >= _SIMPLE or "<|" in word:
+        if not word.isascii() and max(word) >= _SIMPLE:
             return self.encode_whole(word)
         word = word.lower()
         if word.isalpha():
@@ -78,7 +112,7 @@ class WordEncoder:
         return b"".join([self._piece(p) for p in _PIECE.findall(word)])
 
     def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
+        if not self.by_words or "<|" in text or _ODD_SPACE.search(text):
             return self.encode_whole(text)
         try:
             text.encode("latin-1")
