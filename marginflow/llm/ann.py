@@ -20,8 +20,8 @@ Queries that meet fewer than ``k`` vectors are asked again of all vectors.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, as
 queries or candidates; vectors of another dimension than most are left out likewise; a
-repeated vec_id is a candidate of its own except to queries of the same id; ties go to the
-smaller vec_id; an empty table gives no rows.
+repeated vec_id is a row of its own, as query and as candidate, and a query leaves out its own row
+only; ties go to the smaller vec_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -171,50 +171,47 @@ def in_cells(spread: DataFrame) -> DataFrame:
 
 
 def ranked(spread: DataFrame, k: int) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the best ``k`` that queries meet in leaves of ``spread``.
+    """``asked, query_id, rank, vec_id, score``: the best ``k`` that queries meet in leaves of ``spread``.
 
-    ``spread`` has a row for each leaf of a vector or query (tree, leaf, query, salt, vec_id,
-    embedding); ``salt`` deals rows out.
+    ``spread`` has a row for each leaf of a vector or query (tree, leaf, query, salt, row, vec_id,
+    embedding); ``salt`` deals rows out, ``row`` tells them apart, ``asked`` is that of the query.
     """
 
     def rank(cell: pd.DataFrame) -> pd.DataFrame:
         """The best ``k`` of a chunk for each query that opened its leaf."""
         asks = cell["query"].to_numpy(dtype=bool)
-        out_q, out_v, out_s = [], [], []
+        out: list[list[np.ndarray]] = [[] for _ in _FOUND]
         if asks.any() and not asks.all():
-            ids = cell["vec_id"].to_numpy(dtype=np.int64)
+            rows, ids = (cell[c].to_numpy(dtype=np.int64) for c in ("row", "vec_id"))
             points = np.stack(cell["embedding"].to_numpy()).astype(np.float64)
-            base, base_ids = points[~asks], ids[~asks]
-            for query, vector in zip(ids[asks], points[asks]):
+            base, base_rows, base_ids = points[~asks], rows[~asks], ids[~asks]
+            for asked, query, vector in zip(rows[asks], ids[asks], points[asks]):
                 # summed row by row: equal vectors have equal scores wherever they stand
                 score = (base * vector).sum(axis=1)
-                score[base_ids == query] = -np.inf
+                score[base_rows == asked] = -np.inf
                 if len(score) > k:
                     floor = np.partition(score, len(score) - k)[len(score) - k]
                     top = np.nonzero(score >= floor)[0]
                 else:
                     top = np.arange(len(score))
                 top = top[score[top] > -np.inf]
-                top = top[np.lexsort((base_ids[top], -score[top]))][:k]
-                out_q.append(np.full(len(top), query))
-                out_v.append(base_ids[top])
-                out_s.append(score[top])
+                top = top[np.lexsort((base_rows[top], base_ids[top], -score[top]))][:k]
+                found = (np.full(len(top), asked), np.full(len(top), query), base_rows[top], base_ids[top], score[top])
+                for column, values in zip(out, found):
+                    column.append(values)
         none = np.zeros(0)
-        return pd.DataFrame(
-            {
-                "query_id": np.concatenate([*out_q, none]).astype(np.int64),
-                "vec_id": np.concatenate([*out_v, none]).astype(np.int64),
-                "score": np.concatenate([*out_s, none]),
-            }
-        )
-
-    found = in_cells(spread).groupBy("tree", "leaf", "chunk", "block").applyInPandas(
-        rank, "query_id long, vec_id long, score double"
-    )
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        kinds = [np.int64] * 4 + [np.float64]
+        return pd.DataFrame({c: np.concatenate([*v, none]).astype(t) for c, v, t in zip(_FOUND, out, kinds)})
+
+    schema = "asked long, query_id long, row long, vec_id long, score double"
+    found = in_cells(spread).groupBy("tree", "leaf", "chunk", "block").applyInPandas(rank, schema)
+    found = found.groupBy("asked", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id", "row")
     best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    return best.select("asked", "query_id", "rank", "vec_id", "score")
+
+
+_FOUND = ("asked", "query_id", "row", "vec_id", "score")
 
 
 def nearest(
@@ -224,9 +221,10 @@ def nearest(
 
     ``leaves``: leaves that a query opens over all trees; rows without vec_id are left out.
     """
-    clean = vectors.select("vec_id", "embedding", is_query.alias("asks")).filter("vec_id is not null")
+    number = F.monotonically_increasing_id().alias("row")
+    clean = vectors.select(number, "vec_id", "embedding", is_query.alias("asks")).filter("vec_id is not null")
     kind = clean.schema["embedding"].dataType.simpleString()
-    clean = clean.filter(usable(F.col("embedding")))
+    clean = written(clean.filter(usable(F.col("embedding"))), "vectors")
     sizes = clean.groupBy(F.size("embedding").alias("dim")).agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("square"),
@@ -271,26 +269,29 @@ def nearest(
                     pa.array(np.concatenate(leaf_of)),
                     pa.array(np.concatenate(role)),
                     pa.array(drawn.integers(0, 1 << 62, len(at))),
+                    batch.column("row").take(at),
                     batch.column("vec_id").take(at),
                     batch.column("embedding").take(at),
                 ],
-                names=["tree", "leaf", "query", "salt", "vec_id", "embedding"],
+                names=["tree", "leaf", "query", "salt", "row", "vec_id", "embedding"],
             )
 
-    kinds = f"tree int, leaf long, query boolean, salt long, vec_id long, embedding {kind}"
+    kinds = f"tree int, leaf long, query boolean, salt long, row long, vec_id long, embedding {kind}"
     found = written(ranked(written(clean.mapInArrow(assign, kinds), "leaves"), k), "found")
-    full = found.filter(F.col("rank") == k).select("query_id")
-    short = clean.filter("asks").join(full, F.col("vec_id") == F.col("query_id"), "left_anti")
-    short = written(short.select("vec_id").distinct(), "short")
+    full = found.filter(F.col("rank") == k).select(F.col("asked").alias("row"))
+    short = written(clean.filter("asks").join(full, "row", "left_anti").select("row"), "short")
     if short.isEmpty():
-        return found
-    again = short.select(F.col("vec_id").alias("query_id"))
-    return found.join(again, "query_id", "left_anti").unionByName(ranked(_everywhere(clean, short), k))
+        return found.drop("asked")
+    again = short.select(F.col("row").alias("asked"))
+    kept = found.join(again, "asked", "left_anti")
+    return kept.unionByName(ranked(_everywhere(clean, short), k)).drop("asked")
 
 
 def _everywhere(clean: DataFrame, short: DataFrame) -> DataFrame:
-    """All vectors, and the queries with ids of ``short``, in one leaf."""
-    asks = clean.filter("asks").join(short, "vec_id", "left_semi")
-    both = [rows.select(F.lit(q).alias("query"), "vec_id", "embedding") for rows, q in ((clean, False), (asks, True))]
+    """All vectors, and the queries of the rows of ``short``, in one leaf."""
+    asks = clean.filter("asks").join(short, "row", "left_semi")
+    both = [
+        rows.select(F.lit(q).alias("query"), "row", "vec_id", "embedding") for rows, q in ((clean, False), (asks, True))
+    ]
     spread = both[0].unionByName(both[1]).withColumn("salt", F.monotonically_increasing_id())
     return written(spread.select(F.lit(0).alias("tree"), F.lit(0).cast("long").alias("leaf"), "*"), "everywhere")
