@@ -3,8 +3,10 @@
 Fixed cutoffs reject a long-worded language and let a careless source through.  Here every
 measure of a document falls into a bin of a mergeable quantile sketch, kept per language and
 source: counts over bins of relative width 1/32, which add up in any order and partition, so
-reruns agree.  Small groups use the merged sketch of their language, then of everything.  A
-document fails if a measure lies outside the fences around its group's quartiles.
+reruns agree.  A group's sketch is blended with those of its language and of everything, each
+at the weight of ``PRIOR`` documents, so a small group leans on the wider ones and a large one on
+itself, without a size at which the rule changes.  A document fails if its words are far outside the
+quartiles of its blended sketch, or if another measure lies above a high quantile of it.
 
 Documents that fail the fixed base rule don't enter the sketches.  All columns are built-in
 functions: no row leaves the JVM.
@@ -23,17 +25,15 @@ from pyspark.sql import functions as F
 from marginflow.llm.shared import whole_text, words_of, written
 
 WINDOW = 8
-#: Documents that a group's sketch needs; with fewer the next wider one is used.
-LEAST_DOCUMENTS = 100
-#: Fences: quartiles plus and minus this many quartile distances and this slack.
-REACH = 3
-#: Measures in whole thousandths or hundredths, with slack below and above (None: no fence).
-MEASURES = {
-    "word_length": (60, 60),
-    "symbols": (None, 100),
-    "dup_lines": (None, 400),
-    "repeats": (None, 250),
-}
+#: Documents that the sketches of the language and of everything count as, each, in a group's.
+PRIOR = 200
+#: Weights are whole numbers, so many for one document.
+_WEIGHT = 1000
+#: Fences of the word length: quartiles plus and minus this many quartile distances and this slack.
+REACH, SLACK = 3, 60
+#: The other measures, in thousandths, and the quantile (in thousandths) above which a document fails.
+UPPER = {"symbols": 950, "dup_lines": 990, "repeats": 990}
+MEASURES = ("word_length", *UPPER)
 #: Bins below this value hold one value each; above, 32 bins for each doubling.
 EXACT = 64
 
@@ -127,52 +127,57 @@ def sketches(measures: DataFrame) -> DataFrame:
     return spread.groupBy("lang", "source", "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str], mark: str) -> DataFrame:
-    """One row per group of merged sketches: documents and the fences of each measure."""
-    merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "measure")
-    upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    summed = merged.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(group)})
+def blended(sketch: DataFrame) -> DataFrame:
+    """Weights per ``lang, source, measure, bin``: a group's own documents and its priors.
+
+    Every group gets the bins of its language and of everything, a bounded number.
+    """
+    group = ["lang", "source", "measure"]
+    groups = sketch.select(*group).distinct()
 
-    def quartile(quarters: int) -> Column:
-        return F.min(F.when(F.col("upto") * 4 >= F.col("total") * quarters, F.col("bin")))
+    def prior(keys: list[str]) -> DataFrame:
+        merged = sketch.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+        whole = F.sum("n").over(Window.partitionBy(*keys))
+        share = merged.withColumn("weight", F.floor(F.col("n") * PRIOR * _WEIGHT / whole).cast("long"))
+        share = share.select(*[F.col(k).alias(f"_{k}") for k in keys], "bin", "weight")
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        return groups.join(share, same).select(*group, "bin", "weight")
 
-    found = summed.groupBy(*keys, "measure").agg(
-        F.max("total").alias("total"), quartile(1).alias("low"), quartile(3).alias("high")
+    own = sketch.select(*group, "bin", (F.col("n") * _WEIGHT).alias("weight"))
+    rows = own.unionByName(prior(["lang", "measure"])).unionByName(prior(["measure"]))
+    return rows.groupBy(*group, "bin").agg(F.sum("weight").alias("weight"))
+
+
+def fences(weights: DataFrame) -> DataFrame:
+    """One row per group: ``g_lang, g_source``, and the fences of each measure."""
+    group = Window.partitionBy("lang", "source", "measure")
+    upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    summed = weights.withColumns({"upto": F.sum("weight").over(upto), "total": F.sum("weight").over(group)})
+
+    def quantile(measure: str, thousandths: int) -> Column:
+        """The lowest bin up to which that share of the weight lies."""
+        reached = F.col("upto") * 1000 >= F.col("total") * thousandths
+        return F.min(F.when((F.col("measure") == measure) & reached, F.col("bin")))
+
+    low, high = quantile("word_length", 250), quantile("word_length", 750)
+    width = REACH * (high - low) + SLACK
+    return summed.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(
+        (low - width).alias("least_word_length"),
+        (high + width).alias("most_word_length"),
+        *[quantile(measure, share).alias(f"most_{measure}") for measure, share in UPPER.items()],
     )
-    width = REACH * (F.col("high") - F.col("low"))
-    columns = [F.max("total").alias(f"{mark}_total")]
-    for measure, (below, above) in MEASURES.items():
-        here = F.col("measure") == measure
-        if below is not None:
-            columns.append(F.max(F.when(here, F.col("low") - width - below)).alias(f"{mark}_{measure}_least"))
-        columns.append(F.max(F.when(here, F.col("high") + width + above)).alias(f"{mark}_{measure}_most"))
-    return found.groupBy(*[F.col(k).alias(f"{mark}_{k}") for k in keys]).agg(*columns)
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """Counts of each row, ``base_failed`` and ``kept``."""
     measures = written(with_measures(measured(docs)), "measures")
     sketch = written(sketches(measures), "sketch")
-    levels = {"g": ["lang", "source"], "l": ["lang"], "a": []}
-    rows = measures
-    for mark, keys in levels.items():
-        table = fences(sketch, keys, mark)
-        if keys:
-            same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{mark}_{k}")) for k in keys])
-            rows = rows.join(table, same, "left")
-        else:
-            rows = rows.join(F.broadcast(table), F.lit(True), "left")  # one row
-
-    def fence(name: str) -> Column:
-        enough = [F.when(F.col(f"{m}_total") >= LEAST_DOCUMENTS, F.col(f"{m}_{name}")) for m in ("g", "l")]
-        return F.coalesce(*enough, F.col(f"a_{name}"))
-
-    inside = F.lit(True)
-    for measure, (below, _) in MEASURES.items():
-        inside = inside & F.coalesce(F.col(measure) <= fence(f"{measure}_most"), F.lit(True))
-        if below is not None:
-            inside = inside & F.coalesce(F.col(measure) >= fence(f"{measure}_least"), F.lit(True))
+    same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
+    rows = measures.join(fences(blended(sketch)), same, "left")
+    inside = F.col("word_length").between(F.col("least_word_length"), F.col("most_word_length"))
+    for measure in UPPER:
+        inside = inside & (bin_of(F.col(measure)) <= F.col(f"most_{measure}"))
+    inside = F.coalesce(inside, F.lit(False))  # a group without fences has no document that passes the base rule
     return rows.select(
         "doc_id",
         "n_words",

@@ -48,11 +48,20 @@ def words(text):
 
 def test_encoder_equals_the_library():
     tokenizer, encoder = Tokenizer.from_file(WORDS), WordEncoder(WORDS, most_words=3)
-    for text in [*(t or "" for _, t, *_ in ROWS), "don't 12ab ÉÀ_. a,, b.\n\x1cx <|endoftext|>y Σς ﬁ ́a"]:
+    for text in [*(t or "" for _, t, *_ in ROWS), "don't 12ab ÉÀ_. a,, b.\n\x1cx <|endoftext|>y Σς ﬁ ́a",
+                 "<|ENDOFTEXT|>", "a <|ENDOFTEXT|> b", "<|StartOfText|>", "é<|endoftext|><|", "A<| B"]:
         expected = np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         assert encoder.encode(text) == expected
 
 
+def test_encoder_of_another_file_is_the_library():
+    """The tables stand for one way of preparing texts; any other file is left to the library."""
+    tokenizer, encoder = Tokenizer.from_file(BYTES), WordEncoder(BYTES)
+    assert not encoder.by_words and WordEncoder(WORDS).by_words
+    for text in ("Two  Words. ", "don't", "É\n", ""):
+        assert encoder.encode(text) == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing_is_whole_and_dense(docs, nothing):
     found = packing.pack(docs, WORDS, 1, 64).collect()
     tokenizer = Tokenizer.from_file(WORDS)
@@ -226,6 +235,91 @@ def test_quality_counts(docs, nothing):
     assert quality.judged(nothing).count() == 0
 
 
+def kept_by_hand(rows):
+    """``kept`` of documents (lang, source, text) by plain counting."""
+
+    def bin_of(value):
+        if value < 64:
+            return value
+        step = 1 << (value.bit_length() - 6)
+        return value - value % step
+
+    measured = []
+    for lang, source, text in rows:
+        found = words(text)
+        lines = [x for x in (text or "").split("\n") if words(x)]
+        windows = [tuple(found[i : i + 8]) for i in range(len(found) - 7)]
+        covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(8)}
+        n = max(len(found), 1)
+        failed = len(found) < 20 or 100 * len(covered) > 30 * len(found)
+        values = {
+            "word_length": sum(map(len, found)) * 100 // n,
+            "symbols": len(re.findall(r"[#*$%&|<>]", text or "")) * 1000 // n,
+            "dup_lines": (len(lines) - len(set(lines))) * 1000 // max(len(lines), 1),
+            "repeats": len(covered) * 1000 // n,
+        }
+        measured.append((lang, source, failed, values))
+    good = [m for m in measured if not m[2]]
+
+    def quantile(lang, source, measure, share):
+        weights = {}
+        for keep, prior in (
+            ([m for m in good if m[:2] == (lang, source)], None),
+            ([m for m in good if m[0] == lang], quality.PRIOR),
+            (good, quality.PRIOR),
+        ):
+            bins = {}
+            for m in keep:
+                b = bin_of(m[3][measure])
+                bins[b] = bins.get(b, 0) + 1
+            for b, n in bins.items():
+                weight = n * 1000 if prior is None else n * prior * 1000 // len(keep)
+                weights[b] = weights.get(b, 0) + weight
+        upto, total = 0, sum(weights.values())
+        for b in sorted(weights):
+            upto += weights[b]
+            if upto * 1000 >= total * share:
+                return b
+
+    out = []
+    for lang, source, failed, values in measured:
+        if failed:
+            out.append(False)
+            continue
+        low, high = (quantile(lang, source, "word_length", s) for s in (250, 750))
+        width = quality.REACH * (high - low) + quality.SLACK
+        inside = low - width <= values["word_length"] <= high + width
+        for measure, share in quality.UPPER.items():
+            inside = inside and bin_of(values[measure]) <= quantile(lang, source, measure, share)
+        out.append(inside)
+    return out
+
+
+def test_quality_thresholds_follow_each_group(spark):
+    drawn = np.random.default_rng(4)
+    rows = []
+    for lang, source, n in (("en", "code", 70), ("en", "news", 90), ("de", "news", 40), (None, None, 5), ("en", None, 1)):
+        for i in range(n):
+            longest = 9 if lang == "de" else 6
+            text = [("w%d" % drawn.integers(10**6))[: drawn.integers(2, longest)] for _ in range(drawn.integers(10, 60))]
+            if source == "code" and i % 2:
+                text += ["<", ">", "&"] * 2
+            if source == "news" and i % 20 == 0:
+                text += ["#"] * 9
+            lines = " ".join(text)
+            rows.append((lang, source, lines + "\n" + "\n".join(["same line"] * (int(drawn.integers(0, 3)) * (i % 9 == 0)))))
+    rows += [("en", "news", None), ("en", "news", "x" * 9000 + " " + " ".join("abc def ghi jkl".split() * 8)), ("fr", "x", "few words")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
+    found = {r.doc_id: r.kept for r in quality.judged(docs).collect()}
+    expected = kept_by_hand(rows)
+    assert [found[i] for i in range(len(rows))] == expected
+    assert 0.5 < sum(expected) / len(expected) < 1
+    # the same share of signs is usual in one source and not in another
+    measures = quality.written(quality.with_measures(quality.measured(docs)), "m")
+    limits = {(r.g_lang, r.g_source): r.most_symbols for r in quality.fences(quality.blended(quality.sketches(measures))).collect()}
+    assert len(set(limits.values())) > 1
+
+
 def test_secrets(spark, docs, nothing):
     found = {r.doc_id: r for r in secret_scan.secret_report(docs).collect()}
     assert (found[9].n_assign, found[9].n_access, found[9].n_hex) == (1, 1, 1)
@@ -289,6 +383,24 @@ def recall_of_neighbours(spark, vectors, k):
     return hits / (k * len(queries))
 
 
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    """Repeated rows answer and are found each; a query leaves out its own row only."""
+    rng = np.random.default_rng(8)
+    ids = [0, 1, 1, 2, 0, *range(3, 40), 20, 20]
+    vectors = rng.normal(size=(len(ids), 8))
+    vectors[2] = vectors[1]
+    rows = [(i, v.tolist(), "x", 1, 2.0) for i, v in zip(ids, vectors)]
+    kinds = "vec_id long, embedding array<double>, tree string, row int, score double"
+    found = ann.nearest(spark.createDataFrame(rows, kinds), F.col("vec_id") % 20 == 0, 60).collect()
+    expected = []
+    for q, (query, vector) in enumerate(zip(ids, vectors)):
+        if query % 20 == 0:
+            others = sorted(((-float((vectors[r] * vector).sum()), ids[r]) for r in range(len(ids)) if r != q))
+            expected += [(query, rank + 1, i, -s) for rank, (s, i) in enumerate(others)]
+    key = lambda r: (r[0], r[1], r[2], round(r[3], 9))
+    assert sorted(map(key, (tuple(r) for r in found))) == sorted(map(key, expected))
+
+
 def test_neighbours_of_a_small_table_are_all_found(spark):
     assert recall_of_neighbours(spark, np.random.default_rng(9).normal(size=(21, 64)), 20) == 1.0
 
@@ -303,8 +415,8 @@ def test_neighbours_of_unequal_norms(spark):
 def test_queries_of_a_crowded_leaf_are_split(spark, monkeypatch):
     monkeypatch.setattr(ann, "CHUNK", 50)
     monkeypatch.setattr(ann, "BLOCK", 20)
-    rows = [(0, 5, q, i, i, [1.0, float(i)]) for i in range(400) for q in (False, True)]
-    kinds = "tree int, leaf long, query boolean, salt long, vec_id long, embedding array<double>"
+    rows = [(0, 5, q, i, i, i, [1.0, float(i)]) for i in range(400) for q in (False, True)]
+    kinds = "tree int, leaf long, query boolean, salt long, row long, vec_id long, embedding array<double>"
     spread = spark.createDataFrame(rows, kinds)
     cells = ann.in_cells(spread).groupBy("chunk", "block").agg(F.count_if("query").alias("asks"), F.count("*").alias("n"))
     assert {(r.asks, r.n) for r in cells.collect()} == {(20, 70)} and cells.count() == 160
