@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 from marginflow.llm.shared import written
 
 #: Words and separators of a shard; a task holds a few arrays of this length.
-SHARD = 2_000_000
+SHARD = 1_000_000
 #: One task adds up as many phrases as so many shards hold.
 ADDED = 2
 LEAST = 100
 LONGEST = 5
 #: Groups into which the candidates of a language are dealt for the first cut.
 CUTS = 64
+#: Rows of an output batch.
+_BATCH = 20_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PIECES = _LOWER.translate(bytes(10 if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else b for b in range(256)))
@@ -121,17 +123,19 @@ def index(docs: DataFrame, longest: int = LONGEST, shard_size: int = SHARD) -> D
         low, high = ends[ids - 1], ends[ids]
         bwt = _packed(transformed(symbols, longest - 1))
         n = len(ids)
-        yield pa.RecordBatch.from_arrays(
+        rows = pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(n + 1, at, np.int64)),
-                pa.array([*lang, None], pa.string()),
-                pa.array([*word, None], pa.binary()),
-                pa.array(np.append(low, 0).astype(np.int32)),
-                pa.array(np.append(high, len(symbols)).astype(np.int32)),
-                pa.array([None] * n + [bwt], pa.binary()),
+                pa.array([None, *lang], pa.string()),
+                pa.array([None, *word], pa.binary()),
+                pa.array(np.append(0, low).astype(np.int32)),
+                pa.array(np.append(len(symbols), high).astype(np.int32)),
+                pa.array([bwt] + [None] * n, pa.binary()),
             ],
             names=["shard", "lang", "word", "low", "high", "bwt"],
         )
+        for start in range(0, n + 1, _BATCH):
+            yield rows.slice(start, _BATCH)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, shard = TaskContext.get().partitionId() << 32, Shard()
