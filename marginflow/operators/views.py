@@ -21,6 +21,7 @@ from marginflow.functions.numeric import (
     sum_money,
     units,
 )
+from marginflow.functions.totals import contract_totals as contract_totals  # part of this module's interface
 from marginflow.model import TABLE_NAMES, PricingTables
 
 AT_RISK_BELOW_MARGIN = 15
