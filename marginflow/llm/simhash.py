@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginflow.llm.components import connected
-from marginflow.llm.jaccard import near_copies
 from marginflow.llm.shared import written
 
 SEED = 42
@@ -257,15 +256,14 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class of near copies, that of the smallest doc_id; columns as they are.
+    """One row of each component of ``near_duplicates``, that of the smallest doc_id; columns as they are.
 
-    Near copies are those of ``jaccard``: five-word shingles, similarity of 0.8 or more.
     Rows are told apart by two hashes of doc_id and text, 128 bits together; of rows alike in
     both one stays.  Null doc_ids come last.
     """
     first, second = F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id", F.lit(1))
     hashed = docs.select("doc_id", "text", first.alias("_k1"), second.alias("_k2"))
-    found = near_copies(hashed)
+    found = near_duplicates(hashed, "_k1", "_k2")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("_least")
     kept = found.groupBy("root").agg(least).select("_least._k1", "_least._k2")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), first.alias("_k1"), second.alias("_k2"))
