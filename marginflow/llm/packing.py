@@ -5,28 +5,33 @@ each binary digit, longest first.  Each piece is a sequence of its own; its leng
 of two, and pieces of equal length form a bucket from which batches are dense matrices.
 
 ``sequence_id`` holds bucket, task and running number, so sorting by it puts equal lengths
-together; nothing is shuffled and no document meets another one.
+together; nothing is shuffled and no document meets another one.  ``write_buckets`` writes a
+folder for each length, and ``read_buckets`` reads all of them or one.
 
 Cases: a null or empty text is the end id alone; a null doc_id is kept; repeated rows are
-packed each; an empty table gives no rows.
+packed each; very long texts become many blocks, written as they come; an empty table gives no
+rows; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginflow.llm.shared import whole_text
 from marginflow.llm.tokens import word_encoder
+from marginflow.sources.store import scratch_folder
 
 SCHEMA = (
     "doc_id long, start long, length long, tokens binary, doc_tokens long, "
     "bucket int, sequence_id long, offset long"
 )
+SCHEMA_COLUMNS = [column.split()[0] for column in SCHEMA.split(", ")]
 #: Running numbers below, task above, bucket on top; 2**23 tasks of 2**34 pieces.
 _TASK_BITS, _NUMBER_BITS = 23, 34
 #: Rows of an output batch hold about so many bytes of ids.
@@ -94,9 +99,17 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, longest: int = 2048)
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(pieces, SCHEMA)
 
 
-def write_buckets(pieces: DataFrame, path: str) -> None:
-    """Pieces as Parquet, one folder per length, for readers that want dense batches."""
+def write_buckets(pieces: DataFrame) -> str:
+    """Pieces as Parquet in the shared folder, a folder for each length; returns where."""
+    path = f"{scratch_folder(pieces.sparkSession)}/buckets-{uuid.uuid4().hex[:8]}"
     pieces.write.partitionBy("bucket").parquet(path)
+    return path
+
+
+def read_buckets(spark: SparkSession, path: str, length: int | None = None) -> DataFrame:
+    """Pieces of ``write_buckets``, all or those of one length; other folders aren't opened."""
+    pieces = spark.read.schema(SCHEMA).parquet(path).select(*SCHEMA_COLUMNS)
+    return pieces if length is None else pieces.filter(F.col("bucket") == length.bit_length() - 1)
 
 
 def pack_report(pieces: DataFrame) -> DataFrame:

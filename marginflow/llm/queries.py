@@ -91,7 +91,8 @@ def op8_pii(spark: SparkSession, directory: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents")
-    return packing.pack_report(packing.pack(docs, public_tokenizers.path(WORD_IDS), PACK_END, LONGEST))
+    buckets = packing.write_buckets(packing.pack(docs, public_tokenizers.path(WORD_IDS), PACK_END, LONGEST))
+    return packing.pack_report(packing.read_buckets(spark, buckets))
 
 
 def op10_neighbours(spark: SparkSession, directory: str) -> DataFrame:
@@ -184,19 +185,12 @@ WITH RECURSIVE sized AS (
          row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id NULLS FIRST) AS rank,
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size * 16777216)::BIGINT ELSE 0 END AS step
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-), drawn AS (
-  SELECT o.*, d.draw,
-         ('0x' || substr(md5('0:' || d.draw || ':' || coalesce('=' || o.source, 'null')), 1, 6))::BIGINT AS start
-  FROM ordered o, range(16) AS d(draw)
-), tried AS (
-  SELECT *, (((rank * step + start) // 16777216) - (((rank - 1) * step + start) // 16777216)) * size AS taken
-  FROM drawn
-), best AS (
-  SELECT source, draw FROM tried GROUP BY source, draw
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - any_value(target)), draw) = 1
+), offsets AS (
+  SELECT *, ('0x' || substr(md5('0:' || coalesce('=' || source, 'null')), 1, 6))::BIGINT AS start FROM ordered
 )
-SELECT doc_id, size, source_size, target, taken
-FROM tried JOIN best ON tried.source IS NOT DISTINCT FROM best.source AND tried.draw = best.draw
+SELECT doc_id, size, source_size, target,
+       (((rank * step + start) // 16777216) - (((rank - 1) * step + start) // 16777216)) * size AS taken
+FROM offsets
 """
 
 CHAT_SQL = r"""
