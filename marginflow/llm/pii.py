@@ -1,8 +1,9 @@
 """Personal data in plain and disguised spelling, with spans in the original text.
 
 Plain spelling is found by patterns on the text as it is.  Then transducers rewrite the text:
-look-alike letters become Latin ones, runs of spelled digits become digits, bracketed or
-spaced "at" and "dot" become signs.  Each rewrite keeps the borders of what it replaced, so
+look-alike letters become Latin ones, runs of spelled digits become digits (read once without
+the dots between them and once with), bracketed or spaced "at" and "dot" become signs.  A
+spaced "at" before a domain whose dots are plain stays: "look at example.com".  Each rewrite keeps the borders of what it replaced, so
 spans found in the rewritten text are mapped back to the source by binary search.  Spans that
 the plain pass has found, or that overlap one of its spans, are not added again.
 
@@ -122,11 +123,12 @@ _AT = r"at|@|arroba"
 _DOT = r"dot|punkt|point|punto"
 #: In brackets anywhere; between spaces only if "dot" follows the word behind "at".
 _BRACKET = rf"[\[({{<]\x20?(?:{_AT}|{_DOT}|\.)\x20?[\])}}>]"
-_SPACED = rf"(?<=[A-Za-z0-9])\x20(?:at|arroba)\x20(?=[A-Za-z0-9-]+(?:\x20(?:{_DOT})\x20|\x20?[\[(])[A-Za-z0-9])"
-_HINT = re.compile(rf"(?i){_BRACKET}|{_SPACED}")
+_SPACED_DOT = rf"(?<=[A-Za-z0-9])\x20(?:{_DOT})\x20(?=[A-Za-z0-9])"
+_HINT = re.compile(rf"(?i){_BRACKET}|{_SPACED_DOT}")
+_DOT_WORDS = tuple(f" {w} " for w in _DOT.split("|"))
 _AT_DOT = re.compile(
     rf"(?i)\x20?[\[({{<]\x20?({_AT}|{_DOT}|\.)\x20?[\])}}>]\x20?"
-    rf"|(?<=[A-Za-z0-9])\x20(at|arroba)\x20(?=[A-Za-z0-9-]+\x20?(?:[\[(]|(?:{_DOT})\x20))"
+    rf"|(?<=[A-Za-z0-9])\x20(at|arroba)\x20(?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+\x20?(?:[\[(]|(?:{_DOT})\x20))"
     rf"|(?<=[A-Za-z0-9])\x20({_DOT})\x20(?=[A-Za-z0-9])"
 )
 _AT_WORDS = frozenset(("at", "@", "arroba"))
@@ -168,10 +170,17 @@ class Rewritten:
         return old + was if end else old
 
 
+def _spelled(parts: list[str]) -> str:
+    return "".join("+" if p.lower() == "plus" else DIGIT_WORDS.get(p.lower(), p) for p in parts)
+
+
 def _digits(match: re.Match) -> str:
-    return "".join(
-        "+" if p.lower() == "plus" else DIGIT_WORDS.get(p.lower(), p) for p in _SPELLED_PART.findall(match[0])
-    )
+    return _spelled(_SPELLED_PART.findall(match[0]))
+
+
+def _dotted_digits(match: re.Match) -> str | None:
+    """The same with the dots kept; None if there are none."""
+    return ".".join(_spelled(_SPELLED_PART.findall(p)) for p in match[0].split(".")) if "." in match[0] else None
 
 
 def _sign(match: re.Match) -> str:
@@ -185,21 +194,23 @@ def disguised_spans(text: str) -> list[Span]:
     if not text.isascii() and _LOOK.search(text):
         plain = text.translate(_LOOKS)  # one letter for one: places stay
         found = plain_spans(plain)
-    low, chains = plain.lower(), []
+    low, signs = plain.lower(), None
     # what every match must hold is looked for first, since most texts hold none of it
-    if (any(b in plain for b in "[({<") or " at " in low or " arroba " in low) and _HINT.search(plain):
-        chains.append((_AT_DOT, _sign))
+    if (any(b in plain for b in "[({<") or any(w in low for w in _DOT_WORDS)) and _HINT.search(plain):
+        signs = Rewritten(plain)
+        signs.apply(_AT_DOT, _sign)
+    steps = [signs] if signs else []
+    readings = [steps] if steps else []
+    rewritten = signs.text if signs else plain
     parts = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
-    if not _DIGIT_WORD_SET.isdisjoint(parts) and _SPELLED.search(plain):
-        chains.append((_SPELLED, _digits))
-    rewritten, steps = plain, []
-    for pattern, spell in chains:
-        step = Rewritten(rewritten)
-        step.apply(pattern, spell)
-        rewritten = step.text
-        steps.append(step)
-    if steps:
-        for low, high, kind in plain_spans(rewritten):
+    if not _DIGIT_WORD_SET.isdisjoint(parts) and _SPELLED.search(rewritten):
+        readings = []
+        for spell in (_digits, _dotted_digits):
+            step = Rewritten(rewritten)
+            step.apply(_SPELLED, spell)
+            readings.append([*steps, step])
+    for steps in readings:
+        for low, high, kind in plain_spans(steps[-1].text):
             for step in reversed(steps):
                 low, high = step.source(low, False), step.source(high, True)
             found.append((low, high, kind))
