@@ -75,6 +75,25 @@ def test_packing_is_whole_and_dense(docs, nothing):
     assert packing.pack(nothing, WORDS, 1).count() == 0
 
 
+def test_buckets_give_the_pieces_back(spark, docs, nothing):
+    expected = packing.pack(docs, WORDS, 1, 64)
+    path = packing.write_buckets(expected)
+    key = lambda r: str(sorted(r.asDict().items()))
+    assert sorted(map(key, packing.read_buckets(spark, path).collect())) == sorted(map(key, expected.collect()))
+    dense = packing.read_buckets(spark, path, 16)
+    assert {r.length for r in dense.collect()} == {16}
+    # a document's pieces cover it without a gap, and the text's ids come back from them
+    tokenizer = Tokenizer.from_file(WORDS)
+    rows = [r for r in packing.read_buckets(spark, path).collect() if r.doc_id == 6]
+    rows.sort(key=lambda r: r.start)
+    ids = [*tokenizer.encode(ROWS[6][1], add_special_tokens=False).ids, 1]
+    assert [r.start for r in rows] == [sum(p.length for p in rows[:n]) for n in range(len(rows))]
+    assert np.frombuffer(b"".join(r.tokens for r in rows), "<u4").tolist() == ids
+    assert {r.doc_tokens for r in rows} == {len(ids)}
+    empty = packing.write_buckets(packing.pack(nothing, WORDS, 1))
+    assert packing.read_buckets(spark, empty).count() == 0
+
+
 def test_token_files_read_back(docs, nothing):
     index = token_files.write_token_files(docs, WORDS, 2, length=128)
     found = token_files.read_documents(index).collect()
@@ -111,6 +130,9 @@ def test_mixing_nears_targets(docs, nothing):
     assert {r.doc_id: r.size for r in rows} == {i: len(words(t)) for i, t, *_ in ROWS}
     assert all(r.taken <= 3 * r.size for r in rows)
     assert sorted(rows, key=str) == sorted(mixing.mix_report(docs).collect(), key=str)
+    for source in {s for _, _, _, s in ROWS}:
+        here = [r for r in rows if (r.doc_id, r.size) in {(i, len(words(t))) for i, t, _, s in ROWS if s == source}]
+        assert abs(sum(r.taken for r in here) - here[0].target) <= max(r.size for r in here)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r.copies for r in rows)
@@ -139,40 +161,24 @@ def test_simhash_components(docs, nothing):
     assert simhash.near_duplicate_report(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
-def five_word_classes(texts):
-    sets = []
-    for text in texts:
-        found = words((text or "").lower())
-        sets.append({tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set())
-    classes = list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if 5 * len(a & b) >= 4 * len(a | b) and classes[i] != classes[j]:
-                old, new = classes[i], classes[j]
-                classes = [new if c == old else c for c in classes]
-    return classes
-
-
-def test_stage_keeps_one_of_texts_alike_by_four_fifths(spark):
+def test_stage_keeps_the_first_of_each_component(spark):
+    """Texts of a few bits' distance, exact copies and chains, against all pairs in plain Python."""
     rng = np.random.default_rng(8)
     texts = []
     for length in (60, 400, 2000):
         base = [f"w{n}" for n in rng.integers(0, 5000, length)]
-        for share in (0.002, 0.01, 0.02, 0.025, 0.05):
-            for _ in range(5):
-                changed = list(base)
-                for at in rng.choice(length, max(1, int(length * share)), replace=False):
-                    changed[at] = f"x{rng.integers(10**9)}"
-                texts.append(" ".join(changed))
-        texts.append(" ".join(base))
-    # a chain: neighbours are near copies, the ends are not
-    chain = [f"c{n}" for n in range(500)]
-    texts += [" ".join(chain[at : at + 300]) for at in range(0, 200, 20)]
-    texts += [None, "", "one two", "One  two", "one two three"]
-    classes = five_word_classes(texts)
+        for changes in (1, 1, 2, 3, 5, 20):
+            changed = list(base)
+            for at in rng.choice(length, changes, replace=False):
+                changed[at] = f"x{rng.integers(10**9)}"
+            texts += [" ".join(changed)] * 2
+        texts.append(" ".join(base).upper())
+    texts += [None, "", "one two", "One  two", "one two three", " \n"]
     rows = [(i, t, "en", "s", 0, "", "") for i, t in enumerate(texts)]
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, DOCUMENTS)).collect()}
-    assert kept == {classes.index(c) for c in set(classes)}
+    components, classes = brute_components(rows)
+    assert kept == {int(least) for _, least in components}
+    assert len(kept) == classes < len(set(texts))
 
 
 def test_vantage_point_links_are_those_of_all_pairs():
@@ -216,7 +222,24 @@ def test_disguises_map_back_to_the_source():
     }.items():
         ((low, high, _),) = pii.with_disguised(text, pii.plain_spans(text))
         assert text[low:high] == shown
-    assert pii.with_disguised("look at example.com, one or two", []) == []
+    for text in ("look at example.com, one or two", "a point of view", "one, two. three", "at one point two or three"):
+        assert pii.with_disguised(text, []) == []
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("jane@example dot com", "email"),
+        ("john at mail.example dot com", "email"),
+        ("john at example dot com", "email"),
+        ("192 dot 168 dot 0 dot 1", "ip"),
+        ("one nine two.one six eight.zero.one", "ip"),
+        ("one nine two dot one six eight dot zero dot one", "ip"),
+    ],
+)
+def test_disguised_dots(text, kind):
+    padded = f"ünï: {text}, so"
+    assert pii.with_disguised(padded, pii.plain_spans(padded)) == [(5, 5 + len(text), kind)]
 
 
 def test_quality_counts(docs, nothing):
