@@ -13,7 +13,8 @@ Places of matches come from lengths: splitting by a pattern gives the gaps betwe
 matches, and running sums of both give the starts.
 
 Cases: a null text counts as empty; repeated rows are searched each; a null doc_id is kept;
-an empty table gives no rows; spans count code points, the end is exclusive.
+an empty table gives no rows; very long runs are one candidate; only doc_id and text are read,
+so other columns may have any name; spans count code points, the end is exclusive.
 """
 
 from __future__ import annotations
@@ -44,14 +45,19 @@ _DIGITS, _UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
 #: Encodings, first that fits: what its letters match, its alphabet, and what ordinary text in
 #: these letters shows: sums of squared and cubed letter shares, share of places where the
-#: class changes, and serial correlation.  Digits alone are never secrets.
+#: class changes, and serial correlation.  Those of base 32 and 36 are prose with a fifth of
+#: digits in groups of three, those of hex digits and letters in groups of five.  Encodings of
+#: one case count in lower case, and their letters stand before the digits, so that what is
+#: correlated is words and numbers.  Digits alone are never secrets.
 ENCODINGS = (
     ("decimal", r"^[0-9]+$", "", 1.0, 1.0, 0.0, 0.0),
-    ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", _DIGITS + "abcdef", 0.14, 0.024, 0.25, 0.3),
-    ("base32", r"^[A-Z2-7]+=*$", _UPPER + "234567", 0.075, 0.0075, 0.12, 0.2),
+    ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", "abcdef" + _DIGITS, 0.14, 0.024, 0.2, 0.39),
+    ("base32", r"^([a-z2-7]+|[A-Z2-7]+)=*$", _LOWER + "234567", 0.061, 0.005, 0.13, 0.35),
+    ("base36", r"^([a-z0-9]+|[A-Z0-9]+)$", _LOWER + _DIGITS, 0.058, 0.0049, 0.13, 0.42),
     ("alnum", r"^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS, 0.07, 0.0065, 0.25, 0.3),
     ("base64", r".", _UPPER + _LOWER + _DIGITS + "+/", 0.07, 0.0065, 0.25, 0.3),
 )
+ONE_CASE = ("hex", "base32", "base36")
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -126,7 +132,7 @@ def tested(candidates: DataFrame) -> DataFrame:
     # letters that the alphabet lacks in this case or style count as its last one
     alphabet = _by_encoding(2)
     step = step.filter("encoding <> 'decimal'").withColumn("alphabet", alphabet)
-    folded = F.when(F.col("encoding") == "hex", F.lower("bare")).otherwise(F.translate("bare", "-_", "+/"))
+    folded = F.when(F.col("encoding").isin(*ONE_CASE), F.lower("bare")).otherwise(F.translate("bare", "-_", "+/"))
     step = step.withColumn("letters", F.filter(F.split(folded, ""), lambda c: c != ""))
     step = step.withColumn("codes", F.transform("letters", lambda c: F.instr(F.col("alphabet"), c).cast("double")))
     step = step.withColumns({"n": F.size("codes").cast("double"), "k": F.length("alphabet").cast("double")})
