@@ -355,6 +355,55 @@ def test_secrets(spark, docs, nothing):
     assert spans[99] == "random:4:36" and {v for k, v in spans.items() if k != 99} == {""}
 
 
+def battery_by_hand(token):
+    """The combined p-value of a token in plain Python."""
+    name, _, alphabet, two, three, rate, serial = next(e for e in secret_scan.ENCODINGS if re.match(e[1], token))
+    bare = token.rstrip("=")
+    letters = bare.lower() if name in secret_scan.ONE_CASE else bare.replace("-", "+").replace("_", "/")
+    codes = np.asarray([alphabet.index(c) + 1.0 for c in letters])
+    n, k = len(codes), len(alphabet)
+    squares = sum(letters.count(c) ** 2 for c in set(letters))
+    kinds = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s" for c in letters]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    centred = codes - (k + 1) / 2
+    scores = [
+        (squares - n - n * (n - 1) * two) / (4 * n**3 * (three - two * two) + 2 * n * n * two) ** 0.5,
+        (rate * (n - 1) - changes) / (rate * (n - 1) * (1 - rate)) ** 0.5,
+        ((centred[1:] * centred[:-1]).sum() / ((n - 1) * (k * k - 1) / 12) - serial) * n**0.5,
+    ]
+    below = [1 / (1 + np.exp(-1.5976 * z - 0.07056 * z**3)) for z in np.clip(scores, -8, 8)]
+    half = -sum(np.log(p) for p in below)
+    return np.exp(-half) * (1 + half + half * half / 2)
+
+
+def random_tokens(alphabet, length, n=40):
+    rng = np.random.default_rng(length)
+    return ["".join(rng.choice(list(alphabet), length)) for _ in range(n)]
+
+
+def test_battery_equals_plain_python_and_tells_keys_from_words(spark):
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    keys = {
+        "base36": random_tokens(lower + digits, 40),
+        "BASE36": random_tokens(lower.upper() + digits, 40),
+        "base32": random_tokens(lower + "234567", 40),
+        "BASE32": random_tokens(lower.upper() + "234567", 40),
+        "HEX": random_tokens("ABCDEF" + digits, 40),
+        "base62": random_tokens(lower + lower.upper() + digits, 32),
+    }
+    plain = ["donaudampfschifffahrtsgesellschaft", "chapter12section34paragraph56page7", "internationalization",
+             "INTERNATIONALIZATION2024REPORT", "FEEDFACEFEEDFACEFEEDFACE", "some/path/to/a_file-name/of/the/project"]
+    tokens = [(kind, t) for kind, found in keys.items() for t in found] + [("plain", t) for t in plain]
+    rows = secret_scan.tested(spark.createDataFrame(tokens, "kind string, token string")).collect()
+    assert len(rows) == len(tokens)
+    for row in rows:
+        assert row.p == pytest.approx(battery_by_hand(row.token), rel=1e-9)
+    for kind in keys:  # few digits stand in base 32, so it tells itself from words least
+        least = 0.4 if kind.lower() == "base32" else 0.6
+        assert np.mean([r.p < 1e-5 for r in rows if r.kind == kind]) >= least
+    assert min(r.p for r in rows if r.kind == "plain") > 1e-3
+
+
 def test_toxicity_spares_groups_that_are_mentioned(spark, nothing):
     bad = [f"those muslims are scum and losers number {n}" for n in range(60)]
     good = [f"a quiet walk by the river number {n}" for n in range(60)] + ["christians and muslims met"]
@@ -372,6 +421,35 @@ def test_toxicity_spares_groups_that_are_mentioned(spark, nothing):
     assert toxicity.without_toxic(docs, model, 0.7).columns == docs.columns
 
 
+def mentions():
+    """Toxic rows all name one group, clean ones others; a fifth of the toxic rows shows no known insult."""
+    rows = []
+    for n in range(260):
+        rare = "".join(chr(97 + n // 26**k % 26) for k in range(3)) * 2
+        insult = ("scum", "vermin", "losers", "trash", "filth")[n % 5] if n % 25 >= 5 else f"z{rare}"
+        rows.append((f"some muslims of that town and {insult}", 1))
+        rows.append((f"some {('christians', 'buddhists')[n % 2]} of that town and q{rare}", 0))
+    return rows
+
+
+def test_penalty_spares_neutral_mentions_that_a_plain_classifier_rejects(spark, monkeypatch):
+    rows = mentions()
+    docs = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, 1, y) for n, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    neutral = ["some muslims of that town and friends", "muslims and that river", "some muslims"]
+    hostile = ["some christians of that town and vermin", "those buddhists, trash", "jews of that town and scum"]
+    fair = toxicity.fit(docs, labels, F.lit(True))
+    monkeypatch.setattr(toxicity, "FAIRNESS", 0.0)
+    plain = toxicity.fit(docs, labels, F.lit(True))
+
+    def shift(model):
+        return model.weights.get("muslims", 0.0) - model.weights.get("christians", 0.0)
+
+    assert min(plain.score(t) for t in neutral) >= 0.7 > max(fair.score(t) for t in neutral)
+    assert abs(shift(fair)) < 0.1 * abs(shift(plain))
+    assert min(fair.score(t) for t in hostile) >= 0.7
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(600, 16))
