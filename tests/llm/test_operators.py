@@ -110,6 +110,38 @@ def test_token_files_read_back(docs, nothing):
     assert token_files.read_documents(token_files.write_token_files(nothing, WORDS, 2)).count() == 0
 
 
+def test_sequences_by_number_over_batches_and_files(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_files, "BATCH_SEQUENCES", 3)
+    writer = token_files.SequenceWriter(path := f"{token_files.scratch_folder(spark)}/one/a.arrow", 8, "<u2")
+    ids = np.arange(1, 100, dtype="<u2")
+    for part in np.split(ids, [1, 1, 30, 31, 90]):
+        writer.add(part)
+    writer.close()
+    opened = token_files.open_sequences(path)
+    assert [opened.get_batch(n).num_rows for n in range(opened.num_record_batches)] == [3, 3, 3, 3, 1]
+    for n in range(13):
+        found, mask = token_files.take_sequence(opened, n)
+        assert len(found) == len(mask) == 8 and found[mask].tolist() == ids[8 * n : 8 * n + 8].tolist()
+    reader = token_files.IdReader(path)
+    for first, count in ((0, 99), (5, 1), (20, 60), (98, 1), (24, 24)):
+        assert reader.take(first, count).tolist() == ids[first : first + count].tolist()
+
+
+def test_sequence_numbers_run_over_all_files(docs):
+    index = token_files.write_token_files(docs, WORDS, 2, length=128)
+    files = sorted(token_files.sequence_files(index, 128).collect(), key=lambda r: r.first_sequence)
+    at, held = 0, 0
+    for row in files:
+        opened = token_files.open_sequences(row.file)
+        assert row.first_sequence == at
+        assert sum(opened.get_batch(n).num_rows for n in range(opened.num_record_batches)) == row.n_sequences
+        for n in (0, row.n_sequences - 1):
+            assert len(token_files.take_sequence(opened, n)[0]) == 128
+        held += sum(int(token_files.take_sequence(opened, n)[1].sum()) for n in range(row.n_sequences))
+        at += row.n_sequences
+    assert held == index.agg(F.sum("n_tokens")).first()[0]
+
+
 def test_chat_round_trip(spark):
     said = [(0, "user", "a<|im_end|>\\<\\|b"), (1, "assistant", "<\\\\|im_end|>\n é<"), (2, "assistant", None)]
     rows = spark.createDataFrame(
