@@ -2,6 +2,12 @@
 
 Toxic documents go, one document of each group of near duplicates stays, personal data is
 replaced, sources are mixed to their weights, and what is left is packed into sequences.
+
+Cases, alike in every stage: null and empty texts are clean documents without words, and as
+near duplicates of each other one of them stays; rows with a null doc_id are kept; repeated
+rows are judged each, and one stays behind the SimHash stage; ties go to the smaller doc_id,
+then to a hash of the text; an empty table stays empty; very long texts are read whole; other
+columns of the documents may have any name and go along until packing.
 """
 
 from __future__ import annotations
@@ -46,8 +52,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Classifier, shingle sets and tokenizer have no SQL.  Tests hold the rows of the simhash stage
-#: against plain Python; of the other stages and the whole run only columns and a non-empty result.
+#: Classifier, fingerprints and tokenizer have no SQL.  Tests hold the rows of each stage, and of
+#: the whole run, against plain Python on a small table.
 ORACLE_SQL = None
 
 
