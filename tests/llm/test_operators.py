@@ -568,3 +568,110 @@ def test_pipeline_keeps_columns_until_the_last_stage(spark):
         assert name == "packing" or after.columns == docs.columns
         docs = after
     assert docs.count() > 0
+
+
+def corpus(spark, directory):
+    """A small corpus with planted rows, written as the tables that the pipeline reads."""
+    rng = np.random.default_rng(21)
+    prose = [f"word{n}" for n in range(900)]
+    rows = []
+    for n in range(160):
+        text = " ".join(rng.choice(prose, int(rng.integers(30, 90))))
+        rows.append((n, f"{text} {'scum vermin' if n % 4 == 0 else 'river meadow'}", "en", "hot" if n % 3 else f"s{n % 2}"))
+    rows += [(200 + n, rows[n + 1][1], "en", "hot") for n in range(12)]  # exact copies
+    rows += [(300, rows[2][1].upper(), "en", None), (301, rows[2][1].replace(" ", "\t\t"), None, "s1")]
+    rows += [(400, f"write to ann@example.org {rows[5][1]}", "en", "s0"), (401, f"call +1 (269) 555-3296 {rows[6][1]}", "en", "hot")]
+    rows += [(402, f"ben [at] example [dot] org {rows[7][1]}", "en", "s1")]
+    rows += [(500, None, "en", "hot"), (501, "", "en", "s1"), (None, " ".join(prose), "de", "s0"), (502, " ".join(prose * 20), "en", "s1")]
+    rows += [(503, "one", "en", "s1"), (503, "one", "en", "s1")]
+    table = [(*r, len(r[1] or ""), "extra", n) for n, r in enumerate(rows)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, size string, copies int"
+    spark.createDataFrame(table, kinds).write.parquet(f"{directory}/documents.parquet")
+    marked = [(r[0], 1, int("scum" in r[1])) for r in rows if r[0] is not None and r[0] < 120]
+    spark.createDataFrame(marked, "doc_id long, quality int, toxic int").write.parquet(f"{directory}/labels.parquet")
+    return directory
+
+
+def test_pipeline_stages_against_plain_python(spark, tmp_path):
+    import corpus_pipeline
+    from collections import Counter
+
+    from marginflow.llm import queries
+    from marginflow.llm.shared import written
+
+    directory = corpus(spark, str(tmp_path))
+    whole = lambda df: Counter(tuple(r) for r in df.collect())
+    docs = spark.read.parquet(f"{directory}/documents.parquet")
+    stages, after = dict(corpus_pipeline.STAGES), {}
+    for name, stage in corpus_pipeline.STAGES:
+        after[name] = written(stage(spark, docs, directory), name)
+        after[f"before {name}"], docs = docs, after[name]
+    rows = {name: whole(df) for name, df in after.items()}
+
+    # toxic rows go, all others stay as they are
+    expected = Counter({r: n for r, n in rows["before toxicity"].items() if "scum" not in (r[1] or "")})
+    assert rows["toxicity"] == expected and sum(expected.values()) < sum(rows["before toxicity"].values())
+
+    # one row of each component, that of the smallest doc_id
+    before = [r for r, n in rows["before simhash"].items() for _ in range(n)]
+    components, classes = brute_components(before)
+    assert sum(rows["simhash"].values()) == classes and not rows["simhash"] - rows["before simhash"]
+    assert {str(r[0]) for r in rows["simhash"]} == {least for _, least in components}
+    assert not {200, 300, 301} & {r[0] for r in rows["simhash"]}
+
+    # personal data is replaced, everything else is as before
+    clean = Counter()
+    for r, n in rows["before pii"].items():
+        spans = pii.with_disguised(r[1] or "", pii.plain_spans(r[1] or ""))
+        clean[(r[0], pii.redacted(r[1], spans) if spans else r[1], *r[2:])] += n
+    assert rows["pii"] == clean
+    texts = {r[0]: r[1] for r in rows["pii"]}
+    assert texts[400].startswith("write to [email] ") and texts[401].startswith("call [phone] ")
+    assert texts[402].startswith("[email] ")
+
+    # systematic sampling by plain counting
+    unit, mixed = 1 << 24, Counter()
+    sizes = {r: len(words(r[1])) for r in rows["before mixing"]}
+    by_source = {}
+    for r in rows["before mixing"]:
+        by_source.setdefault(r[3], []).append(r)
+    order = sorted(by_source, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + n % 3 for n, s in enumerate(order)}
+    size = {s: sum(sizes[r] for r in by_source[s]) for s in order}
+    fixed = set()
+    while True:
+        level = (sum(size.values()) - sum(3 * size[s] for s in fixed)) / (sum(weight[s] for s in order if s not in fixed) or 1)
+        more = {s for s in order if s not in fixed and level * weight[s] > 3 * size[s]}
+        if not more:
+            break
+        fixed |= more
+    import hashlib
+
+    for s in order:
+        target = 3 * size[s] if s in fixed else level * weight[s]
+        step = int(target / size[s] * unit) if size[s] else 0
+        at = int(hashlib.md5(f"0:{'null' if s is None else '=' + s}".encode()).hexdigest()[:6], 16)
+        for r in sorted(by_source[s], key=lambda r: (sizes[r], r[0] is not None, r[0] or 0)):
+            mixed[r] += (at + step) // unit - at // unit
+            at += step
+    assert rows["mixing"] == +mixed
+
+    # every id lies in one piece of a power of two
+    tokenizer = Tokenizer.from_file(WORDS)
+    ids = Counter()
+    for r, n in rows["before packing"].items():
+        found = [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, queries.PACK_END]
+        at = 0
+        for length in packing.piece_lengths(len(found), queries.LONGEST):
+            piece = np.asarray(found[at : at + length], "<u4").tobytes()
+            ids[(r[0], at, length, piece, len(found))] += n
+            at += length
+    pieces = after["packing"].select("doc_id", "start", "length", "tokens", "doc_tokens")
+    assert Counter((r[0], r[1], r[2], bytes(r[3]), r[4]) for r in pieces.collect()) == ids
+
+    ran = corpus_pipeline.run(spark, directory).select("doc_id", "start", "length", "tokens", "doc_tokens")
+    assert whole(ran) == whole(pieces)
+
+    for name, stage in stages.items():
+        none = after[f"before {name}"].limit(0)
+        assert stage(spark, none, directory).count() == 0
