@@ -64,6 +64,17 @@ def in_gpo(df: DataFrame, gpos: DataFrame, name: str) -> DataFrame:
     return df.join(gpos.filter(F.col("name") == F.lit(name)).select("gpo_id"), "gpo_id", "left_semi")
 
 
+def in_range(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    """Rows whose ``column`` lies within the bounds, both included; NULL lies nowhere.
+
+    For columns that are computed.  A plain filter moves below the projections and joins that
+    compute its column, and each mention is spelled out there again: for a margin that makes a
+    condition too long to be compiled.  A generated column stays where it is, computed once a row.
+    """
+    once = [F.explode(F.array(column)).alias(column) if c == column else F.col(c) for c in df.columns]
+    return df.select(*once).filter(F.col(column).between(low, high))
+
+
 def apply_filters(
     df: DataFrame, filters: Filters | None, dims: Iterable[str], gpos: DataFrame | None = None
 ) -> DataFrame:

@@ -18,6 +18,7 @@ from marginflow.operators.predicates import (
     apply_filters,
     for_tenant,
     in_gpo,
+    in_range,
 )
 from marginflow.operators.tenancy import ScopedTables, TenantSession
 from marginflow.sources import store
@@ -395,9 +396,8 @@ def _in_list(t: StarTables) -> DataFrame:
 
 @_query("p7_range")
 def _range(t: StarTables) -> DataFrame:
-    return t.transactions.filter(F.col("margin_pct").between(0, 30)).select(
-        "transaction_id", "margin_pct"
-    )
+    lines = t.transactions.select("transaction_id", "margin_pct")
+    return in_range(lines, "margin_pct", 0, 30)
 
 
 @_query("p8_having")

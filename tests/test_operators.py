@@ -10,8 +10,9 @@ from marginflow.functions.calendar import contract_status
 from marginflow.functions.keys import has_id, key_of
 from marginflow.operators import accessors, conformance, customer, derive, frames, kpis, questions, views
 from marginflow.operators.fusion import scalar_of
-from marginflow.operators.predicates import Filters, apply_filters, for_tenant
+from marginflow.operators.predicates import Filters, apply_filters, for_tenant, in_range
 from marginflow.operators.tenancy import ScopedTables, TenantSession
+from marginflow.plans.catalog import all_queries
 from marginflow.sources import star as star_source
 from marginflow.sources.star import StarTables
 
@@ -777,3 +778,50 @@ def test_revenue_growth_skips_gaps(spark):
     lines = [fx.line("a", year=2020), fx.line("b", year=2021, quantity=2), fx.line("c", year=2023)]
     got = kpis.revenue_growth(fx.tables(spark, [fx.contract("C1")], lines)).orderBy("year")
     assert [(r.year, r.growth) for r in got.collect()] == [(2020, None), (2021, 1.0), (2023, None)]
+
+
+# --- ranges -----------------------------------------------------------------
+
+
+def test_range_keeps_its_bounds_and_no_null(spark):
+    nets = [100.0, 100.0, 100.0, 100.0, 0.0, 100.0, 100.0]
+    costs = [70.0, 69.9, 100.0, 100.1, 5.0, None, 80.0]
+    lines = spark.createDataFrame(
+        list(zip(range(7), nets, costs, strict=True)), "id int, lowest_net_price double, unit_cost double"
+    )
+    priced = derive.with_margin(lines).select("margin_pct", "id")
+    kept = in_range(priced.unionAll(priced.filter("id = 6")), "margin_pct", 0, 30)
+    assert kept.schema == priced.schema
+    assert sorted(rows(kept)) == [(0.0, 2), (0.0, 4), (20.0, 6), (20.0, 6), (30.0, 0)]
+
+
+def test_range_query_computes_the_margin_once(spark, tmp_path):
+    ordered, shipped = dt.datetime(1998, 5, 1), dt.datetime(1998, 6, 1)
+    tables = {
+        "region": [(0, "ASIA")],
+        "nation": [(0, "INDIA", 0)],
+        "customer": [(1, "One", 0, 7000.0, "BUILDING"), (2, "Two", 0, 10.0, "MACHINERY")],
+        "orders": [
+            (n, 1 + n % 2, "O", 1.0, ordered, priority)
+            for n, priority in enumerate(("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"), start=1)
+        ],
+        "part": [(n, f"part {n}", "B", "T", 5 * n, 900.0) for n in range(1, 11)] + [(11, "free", "B", "T", 1, 0.0)],
+        "lineitem": [
+            (order, part, 1, part, float(part), 1.0, 0.0, tax, "N", "O", shipped)
+            for order in range(1, 5)
+            for part, tax in zip(range(1, 12), [0.0, 0.08, None, 0.05] * 3)
+        ],
+    }
+    for name, data in tables.items():
+        spark.createDataFrame(data, star_source.RAW_SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    priced = StarTables(spark, str(tmp_path)).transactions.select("transaction_id", "margin_pct")
+    kept = all_queries()["p7_range"](spark, str(tmp_path))
+
+    expected = [r for r in rows(priced) if r[1] is not None and 0 <= r[1] <= 30]
+    assert 0 < len(expected) < priced.count()
+    assert sorted(rows(kept)) == sorted(expected)
+
+    def divisions(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count(" div ")
+
+    assert divisions(kept) == divisions(priced)
